@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import save
+
 #: Fixed values of the term definition: the marker the preprocessing step leaves in a line.
 MARKER = "zxzxpz"
 
@@ -25,29 +27,30 @@ def usable_number(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def first_deliveries(df: DataFrame, keys: list[str], arrived: str, broadcast_rows: int = 200_000) -> DataFrame:
-    """One row per key, the one that arrived first, without shuffling the payload.
+#: Repeated keys that are broadcast, a few dozen bytes each; more of them are joined by a shuffle.
+MOST_BROADCAST_KEYS = 200_000
 
-    Only the narrow key columns are grouped to find keys that were delivered
-    more than once.  Those few rows are deduplicated; all other rows pass
-    through by an anti join.  The set of repeated keys is counted first and
-    broadcast only up to ``broadcast_rows`` keys, else both joins shuffle.
-    Among equal arrival times any one row stays, as deliveries of a key have
-    the same content.  Rows with a null key are kept as they are.
-    """
-    from ..scratch import save
 
-    known = df.where(F.lit(True))
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys found in more than one row, with a broadcast hint if they are few.
+
+    Only the narrow key columns are read and shuffled.
+    """
+    known = df.select(*keys)
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    twice = save(known.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "repeated-keys")
-    n = twice.df.count()
-    if n == 0:
-        return df
-    few = F.broadcast(twice.df) if n <= broadcast_rows else twice.df
-    again = df.join(few, keys, "left_semi")
-    from pyspark.sql import Window
+    t = save(known.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated-keys").df
+    return F.broadcast(t) if t.count() <= MOST_BROADCAST_KEYS else t
 
+
+def first_deliveries(df: DataFrame, keys: list[str], arrived: str, repeated: DataFrame) -> DataFrame:
+    """One row per key, the one that arrived first, without shuffling the payload.
+
+    The few rows of repeated keys are deduplicated; all other rows pass by an
+    anti join.  Among equal arrival times any one row stays, as deliveries of a
+    key have the same content.  Rows with a null key are kept as they are.
+    """
     w = Window.partitionBy(*keys).orderBy(F.col(arrived).asc_nulls_last())
+    again = df.join(repeated, keys, "left_semi")
     first = again.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return df.join(few, keys, "left_anti").unionByName(first)
+    return df.join(repeated, keys, "left_anti").unionByName(first)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import components, topn
+from . import components, cooccur, frequency, topn
 
-_MODULES = (topn, components)
+_MODULES = (topn, cooccur, frequency, components)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
