@@ -44,6 +44,10 @@ _COLUMN = re.compile(r"\S(?:\s{2,}|\t)(?=\S)")
 _HEX = re.compile(r"\b[0-9a-f]{2}\b|\b[0-9a-f]{8}\b")
 _FILL = re.compile(r"[_.\-*=#~]{4,}")
 _ENDS = tuple(".!?:;…”\"')")
+_DIGIT = re.compile(r"\d")
+_VOWEL = re.compile(r"[aeiouáéíóúäöüAEIOU]")
+_INNER = re.compile(r"(?<!\S)[^\s]*?\w[^\w\s'’.\-/,:]+\w")
+_STRANGE = re.compile(r"[^\x00-\x7e\w]")
 _DELIMITERS = "|\t;,"
 LINE_FIGURES = (
     "bias words chars word_len letters digits upper symbols spaces common ends_stop ends_any mark pairs aligned columns "
@@ -93,10 +97,10 @@ class Reader:
             words = _WORD.findall(s.lower())
             n_s = len(s)
             letters = sum(map(len, words))
-            digits = sum(c.isdigit() for c in s)
-            blanks = sum(c.isspace() for c in s)
-            symbols = max(0, n_s - letters - digits - blanks)
+            digits = len(_DIGIT.findall(s))
             tokens = s.split()
+            blanks = n_s - sum(map(len, tokens))
+            symbols = max(0, n_s - letters - digits - blanks)
             common = sum(w in self.common for w in words)
             mark = _MARK.match(x)
             columns = [m.end() for m in _COLUMN.finditer(x)]
@@ -104,14 +108,14 @@ class Reader:
             odd = 0.0
             if self.pairs is not None and words:
                 odd = self._oddness(words)
-            inner = sum(1 for t in tokens if re.search(r"\w[^\w\s'’.\-/,:]+\w", t))
+            inner = len(_INNER.findall(s)) if symbols else 0
             row = f[i]
             row[0] = 1
             row[1] = min(len(tokens), 30) / 10
             row[2] = min(n_s, 200) / 100
             row[3] = min(letters / len(words), 20) / 8 if words else 0
             row[4], row[5] = letters / n_s, digits / n_s
-            row[6] = sum(c.isupper() for c in s) / max(1, letters)
+            row[6] = sum(map(str.isupper, s)) / max(1, letters)
             row[7], row[8] = symbols / n_s, blanks / n_s
             row[9] = common / len(tokens)
             row[10] = s[-1] in ".!?"
@@ -126,12 +130,12 @@ class Reader:
             row[21] = len(set(s)) / min(n_s, 40)
             row[22] = odd
             row[23] = inner / len(tokens)
-            row[24] = sum(s.lower().count(v) for v in "aeiouáéíóúäöü") / max(1, letters)
+            row[24] = len(_VOWEL.findall(s)) / max(1, letters)
             row[38] = len(tokens) == 1
             row[39] = min(max(map(len, tokens)), 80) / 40
-            row[40] = sum(1 for c in s if ord(c) > 126 and not c.isalpha()) / n_s
+            row[40] = 0 if s.isascii() else len(_STRANGE.findall(s)) / n_s
             words_of.append(sorted({self.vocabulary[w] for w in words if w in self.vocabulary}))
-            starts.append(frozenset(columns))
+            starts.append((columns + [-1] * 4)[:4])
             shapes.append(mark.group().strip()[:1] if mark else "")
             delims.append(tuple(count))
             n_words += len(words)
@@ -141,16 +145,19 @@ class Reader:
             n_symbols += symbols
         # Vertical alignment: the same number of a delimiter, or columns at the same place, in a line within three before or after.
         aligned = np.zeros(n)
-        for i in range(n):
-            for j in range(max(0, i - 3), min(n, i + 4)):
-                if j != i:
-                    same = max((c for c, e in zip(delims[i][:3], delims[j][:3], strict=True) if c == e and c >= 2), default=0)
-                    same = max(same, len(starts[i] & starts[j]))
-                    if delims[i][3] == delims[j][3] >= 2 and raw[i].lstrip()[:1] in "\"'0123456789":
-                        same = max(same, delims[i][3])
-                    if f[i, 13] >= 1 and f[i, 13] == f[j, 13]:
-                        same = max(same, 2)
-                    aligned[i] = max(aligned[i], min(same, 4) / 2)
+        if n > 1:
+            col, count = np.array(starts), np.array(delims)
+            count[:, 3] *= np.array([x.lstrip()[:1] in "\"'0123456789" for x in raw])
+            pair = f[:, 13]
+            for gap in range(1, min(4, n)):
+                a, b = count[gap:], count[:-gap]
+                same = np.where((a == b) & (a >= 2), a, 0).max(1)
+                here = (col[gap:, :, None] == col[:-gap, None, :]) & (col[gap:, :, None] >= 0)
+                same = np.maximum(same, here.any(2).sum(1))
+                same = np.maximum(same, 2 * ((pair[gap:] >= 1) & (pair[gap:] == pair[:-gap])))
+                same = np.minimum(same, 4) / 2
+                aligned[gap:] = np.maximum(aligned[gap:], same)
+                aligned[:-gap] = np.maximum(aligned[:-gap], same)
         f[:, 14] = aligned
         f[:, 17] = f[:, 16].max() if n else 0
         length = np.array([len(x) for x in raw], float)
