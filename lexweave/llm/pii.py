@@ -107,7 +107,7 @@ SENTENCES = (
     "Send the letter to {e} please.", "She lives at {a} with her son.", "Contact: {n}, {a}, tel {p}", "Signed: {n}", "Mr {f} called from {p}.",
     "Passport no. {i} was shown.", "The {f} score was 8.", "A {f} catheter was placed.", "The {f} sign was negative.", "Frau {f} wohnt {a}.",
     "La Sra. {f} vive en {a}.", "Name: {n}   policy holder id: {i}", "{n} was told about the plan.", "Next of kin is {n} (<{e}>).",
-    "Order 482910 was cancelled.", "Lot 3481-220-51 was used.", "Doses of 120-340-1020 mg were given.", "Room 214 was free at 10:32.",
+    "The office is at {a}.", "Mail it to {a}.", "Order 482910 was cancelled.", "Lot 3481-220-51 was used.", "Doses of 120-340-1020 mg were given.", "Room 214 was free at 10:32.",
 )
 
 
@@ -277,7 +277,7 @@ class Doc:
         for i, j in self.spans["email"]:
             put("email", i, j)
         for i, j in self.spans["address"]:
-            inner = [x for x in low[i + 1 : j] if x.isalpha()][:-1]
+            inner = [x for x in low[i + 1 : j] if x.isalpha() and len(x) > 1][:-1]
             if not any(x in common or x in UNITS for x in inner):
                 put("address", i, j)
         for i, j in self.spans["id_number"]:
@@ -550,7 +550,8 @@ def _start_sentences(names: Names, rng: np.random.Generator) -> list[str]:
         n = [f"{g} {f}", f"{f.upper()}, {g}", f"{g[0]}. {f}", f"{f}, {g}", f"{g} {pick(given)[0].upper()}. {f}", f"{g} {f}".lower()][rng.integers(6)]
         p = [f"({digits(3)}) 555-{digits(4)}", f"+1 {digits(3)} 555 {digits(4)}", f"{digits(3)}-555-{digits(4)}", f"0{digits(4)} {digits(6)}"][rng.integers(4)]
         i = [f"{digits(8)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"X{digits(7)}", f"ABC-{digits(4)}-{digits(3)}"][rng.integers(4)]
-        a = [f"{digits(3)} {pick(family).title()} Street", f"{digits(4)} {pick(family).title()} Ave, Apt {digits(2)}B", f"PO Box {digits(4)}"][rng.integers(3)]
+        a = [f"{digits(3)} {pick(family).title()} Street", f"{digits(4)} {pick(family).title()} Ave, Apt {digits(2)}B", f"PO Box {digits(4)}",
+             f"{pick(family).title()}straße {digits(2)}", f"{pick(family).title()}weg {digits(3)}", f"Calle {pick(family).title()} {digits(2)}"][rng.integers(6)]
         out.append(s.format(n=n, f=f, p=p, i=i, a=a, e=f"{g}.{f}@example.org".lower()))
     return out
 
