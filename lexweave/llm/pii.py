@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..share import share
 from .common import table
 
 TRAINING_DOCS = 1_200
@@ -697,7 +698,7 @@ def find_personal(documents: DataFrame, names: DataFrame, common_words: DataFram
     known = known_names(names)
     field = train(texts, known, common)
     field.name_cache = {}
-    shared = spark.sparkContext.broadcast((field, common))
+    shared = share(spark, (field, common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, common = shared.value

@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..share import share
 from .common import table
 
 MOST_RATED, MOST_LINES, FEWEST_RATED = 6_000, 60_000, 60
@@ -304,7 +305,7 @@ def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) ->
     """Figures and kind of every document."""
     spark = documents.sparkSession
     common = {r["word"].lower() for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()}
-    shared = spark.sparkContext.broadcast(train(rated_sample(documents, labels), common))
+    shared = share(spark, train(rated_sample(documents, labels), common))
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
