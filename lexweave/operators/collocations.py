@@ -59,7 +59,7 @@ def next_order(counts: DataFrame, found: DataFrame, n: int, total: int, s: Setti
     lower = found.where(F.col("n") == n - 1).select("form")
     g = g.join(lower.select(F.col("form").alias("lead"), F.lit(True).alias("has_lead")), "lead", "left")
     g = g.join(lower.select(F.col("form").alias("trail"), F.lit(True).alias("has_trail")), "trail", "left")
-    score = F.greatest(F.lit(0.0), F.when("has_lead", F.col("lead_score")), F.when("has_trail", F.col("trail_score")))
+    score = F.greatest(F.lit(0.0), F.when(F.col("has_lead"), F.col("lead_score")), F.when(F.col("has_trail"), F.col("trail_score")))
     passed = score >= s.threshold(n)
     kept = F.when(passed, score)
     if n == 3:
