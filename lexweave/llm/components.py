@@ -30,28 +30,38 @@ from .common import compared_form, table, usable_number
 MOST_HUBS = 20_000
 
 
-def _with_minimum(d: DataFrame, n_edges: int) -> DataFrame:
-    """Edges (u, v) with ``m``, the smallest v of each u."""
+def _with_minimum(d: DataFrame, n_edges: int) -> tuple[DataFrame, Table]:
+    """Edges (u, v) with ``m``, the smallest v of each u; and the table of minima, to be dropped after use.
+
+    The minima are written first, with the largest degree observed on the way,
+    so the way round hubs is planned only where there are hubs.
+    """
+    degree = Observation()
     low = d.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hub = low.where(F.col("n") > max(1_000, 2 * n_edges // MOST_HUBS)).select("u", "m")
+    low = save(low.observe(degree, F.max("n").alias("most")), "minima")
+    limit = max(1_000, 2 * n_edges // MOST_HUBS)
+    minima = low.df.select("u", "m")
+    if (degree.get["most"] or 0) <= limit:
+        return d.join(minima, "u"), low
+    hub = low.df.where(F.col("n") > limit).select("u", "m")
     at_hubs = d.join(F.broadcast(hub), "u")
-    rest = d.join(F.broadcast(hub.select("u")), "u", "left_anti").join(low.select("u", "m"), "u")
-    return at_hubs.unionByName(rest)
+    rest = d.join(F.broadcast(hub.select("u")), "u", "left_anti").join(minima, "u")
+    return at_hubs.unionByName(rest), low
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _large_star(edges: DataFrame, n_edges: int) -> tuple[DataFrame, Table]:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    x = _with_minimum(both, n_edges).where("v > u")
-    return x.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    x, low = _with_minimum(both, n_edges)
+    return x.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), low
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> tuple[DataFrame, Table]:
     """``edges`` has u > v."""
-    x = _with_minimum(edges, n_edges)
+    x, low = _with_minimum(edges, n_edges)
     itself = F.struct(F.col("u"), F.col("m").alias("v"))
     other = F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
     pairs = x.select(F.explode(F.array(itself, other)).alias("e")).select("e.u", "e.v")
-    return pairs.where("u <> v").distinct()
+    return pairs.where("u <> v").distinct(), low
 
 
 def _written(edges: DataFrame, name: str) -> tuple[Table, tuple]:
@@ -67,10 +77,13 @@ def star_components(edges: DataFrame) -> DataFrame:
     first = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     now, state = _written(first, "edges")
     while state[0]:
-        n = state[0]
-        large = _large_star(now.df, n)
-        after, reached = _written(_small_star(large, n), "edges")
-        now.drop()
+        large, low = _large_star(now.df, state[0])
+        between, met = _written(large, "edges")
+        low.drop()
+        small, low = _small_star(between.df, met[0])
+        after, reached = _written(small, "edges")
+        for gone in (low, between, now):
+            gone.drop()
         now, before, state = after, state, reached
         if before == state:
             break
