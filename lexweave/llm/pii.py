@@ -589,6 +589,8 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
                 index[f"{r}:{x}"] = len(index)
     field = Field(names, vocabulary, index)
     field.name_cache = cache
+    if not kept:
+        return field
     width = 5
     ids_of: dict[str, np.ndarray] = {}
     blank = len(index)
