@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 BREAKS = " -/_&"
 
@@ -124,7 +125,7 @@ def _levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def best_reordered(a: pd.Series, b: pd.Series) -> pd.Series:
     """Least plain distance when the words of the side with fewer of them (b on a tie) stand in another order; null if there is none."""
 

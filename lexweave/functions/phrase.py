@@ -7,6 +7,7 @@ from itertools import permutations as _permutations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def normalised(text: Column, delimiter: str = r"\s+") -> Column:
@@ -77,7 +78,7 @@ def has_subphrase(phrase: Column, part: Column) -> Column:
     return F.contains(pad(phrase), pad(part))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def permutations(phrase: pd.Series) -> pd.Series:
     """All distinct orders of the words, the given one included; n! rows, so for short phrases."""
     return phrase.map(lambda p: None if p is None else sorted({" ".join(x) for x in _permutations(p.split(" "))}))
