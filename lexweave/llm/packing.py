@@ -121,14 +121,20 @@ def pack(docs: DataFrame, packs: DataFrame, targets: DataFrame | None = None) ->
         share = by_source.join(targets.select("source", F.col("target_share").alias("share")), "source", "left")
         share = share.select("source", F.coalesce("share", F.lit(0.0)).alias("share"))
     shard_total = per.groupBy("shard_no").agg(F.sum("tokens").alias("total"))
-    grid = shard_total.crossJoin(F.broadcast(share)).join(per, ["shard_no", "source"], "left")  # shards x sources rows
+    # Sources are few (each window looks at all of them), so their shares are literals of the plan: a row per shard and source.
+    shares = [F.struct(F.lit(r["source"]).alias("source"), F.lit(float(r["share"])).alias("share")) for r in share.collect()]
+    shares = F.array(*shares) if shares else F.array().cast("array<struct<source:string,share:double>>")
+    grid = shard_total.select("shard_no", "total", F.explode(shares).alias("x")).select("shard_no", "total", "x.source", "x.share")
+    grid = grid.join(per, ["shard_no", "source"], "left")
     before = Window.partitionBy("source").orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
     owed = F.coalesce(F.sum(F.col("share") * F.col("total") - F.coalesce("tokens", F.lit(0))).over(before), F.lit(0.0))
     start = grid.withColumn("owed", owed).groupBy("shard_no").agg(
         F.sort_array(F.collect_list(F.struct("source", "share", "owed"))).alias("start")
     )
-    caps = packs.select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity_tokens"))
-    todo = placed.join(F.broadcast(start), "shard_no").crossJoin(F.broadcast(caps))  # a row per document and capacity
+    sized_packs = packs.where("capacity_tokens > 0").select("pack_name", F.col("capacity_tokens").cast("int").alias("c")).distinct().collect()
+    caps = [F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["c"]).alias("capacity_tokens")) for r in sized_packs]
+    caps = F.array(*caps) if caps else F.array().cast("array<struct<pack_name:string,capacity_tokens:int>>")
+    todo = placed.join(F.broadcast(start), "shard_no").select("*", F.explode(caps).alias("x")).select("*", "x.*").drop("x")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         start = pdf["start"].iloc[0]
