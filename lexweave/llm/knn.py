@@ -16,7 +16,7 @@ of columns, at last to the whole distance.  The limit is the k-th best distance
 of the query so far, or the distance at ``min_similarity`` if that is smaller.
 
 A pair met in a list counts for both of its rows, so it is found if either row
-probes the other's list.
+probes the other's list, and is abandoned only if the limits of both reject it.
 
 Exact copies are searched once: they are grouped by a 128-bit hash of the
 vector, the smallest id stands for them, and answers are expanded afterwards to
@@ -122,8 +122,12 @@ def train_centres(x: np.ndarray, lists: int, seed: int = 11, rounds: int = 8) ->
     return c.astype(np.float32)
 
 
-def scan_list(q: np.ndarray, x: np.ndarray, k: int, min_similarity: float, eps0: float = EPS0):
-    """Pairs (query row, list row, similarity) that may be among a query's k best in the list."""
+def scan_list(q: np.ndarray, x: np.ndarray, k: int, min_similarity: float, eps0: float = EPS0, query_of: np.ndarray | None = None):
+    """Pairs (query row, list row, similarity) that may be among a query's k best in the list.
+
+    ``query_of`` holds the query row of each list row, if they have one: then a
+    pair also stays if it may be among the k best of its list row.
+    """
     dim = q.shape[1]
     blocks = column_blocks(dim)
     d0 = blocks[0][1]
@@ -137,10 +141,13 @@ def scan_list(q: np.ndarray, x: np.ndarray, k: int, min_similarity: float, eps0:
         for qs in range(0, len(q), TILE):
             qe = min(len(q), qs + TILE)
             # partial distance / 2 = q_part + x_part - q.x; the limit on a whole distance is 2 - 2 * kth
-            limit = (1 - kth[qs:qe]) * (d0 / dim) * (1 + eps0 / np.sqrt(d0)) ** 2
+            stretch = (d0 / dim) * (1 + eps0 / np.sqrt(d0)) ** 2
             dot = q[qs:qe, :d0] @ x[xs:xe, :d0].T
             dot -= x_part[None, xs:xe]
-            flat = np.flatnonzero(dot.ravel() >= np.repeat(q_part[qs:qe] - limit, xe - xs)) if d0 < dim else np.arange(dot.size)
+            near = dot >= (q_part[qs:qe] - (1 - kth[qs:qe]) * stretch)[:, None]
+            if query_of is not None and xs:  # in the first tile all limits are still equal
+                near |= dot >= q_part[qs:qe, None] - ((1 - kth[query_of[xs:xe]]) * stretch)[None, :]
+            flat = np.flatnonzero(near) if d0 < dim else np.arange(dot.size)
             i, j = flat // (xe - xs) + qs, flat % (xe - xs) + xs
             part = 2 * (q_part[i] - dot.ravel()[flat])
             for a, b in blocks[1:]:
@@ -149,7 +156,8 @@ def scan_list(q: np.ndarray, x: np.ndarray, k: int, min_similarity: float, eps0:
                     gap = q[i[s:e], a:b] - x[j[s:e], a:b]
                     part[s:e] += np.einsum("ij,ij->i", gap, gap)
                 stretch = (1 + eps0 / np.sqrt(b)) ** 2 if b < dim else 1.0
-                live = part <= 2 * (1 - kth[i]) * (b / dim) * stretch + 1e-4
+                least = kth[i] if query_of is None else np.minimum(kth[i], kth[query_of[j]])
+                live = part <= 2 * (1 - least) * (b / dim) * stretch + 1e-4
                 i, j, part = i[live], j[live], part[live]
             here.append((i, j, (1 - part / 2).astype(np.float32)))
         i, j, sim = (np.concatenate(z) for z in zip(*here, strict=True)) if here else (np.zeros(0, int),) * 3
@@ -240,9 +248,9 @@ def similar_vectors(
         _, first = np.unique(ids, return_index=True)  # loaded twice: the same list and code
         ids, home = ids[first], home[first]
         code = decode(group.column("code").combine_chunks().take(pa.array(first)), dim)
-        i, j, sim = scan_list(code, code[home], k, min_similarity)
+        i, j, sim = scan_list(code, code[home], k, min_similarity, query_of=np.flatnonzero(home))
         a, b = ids[i], ids[home][j]
-        # A pair of two rows of this list is met from both sides; it is kept once.
+        # A pair of two rows of this list is met from both sides, each time under the limits of both; it is kept once.
         real = (a < b) | ((a != b) & ~home[i])
         real &= sim >= min_similarity - slack
         a, b, sim = a[real], b[real], sim[real]

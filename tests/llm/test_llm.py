@@ -205,6 +205,37 @@ def test_adaptive_scan_loses_little():
     assert len(found & want) >= 0.995 * len(want)
 
 
+def test_list_of_several_tiles_keeps_the_neighbours_of_both_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MOST_LISTS", 1)
+    n, dim = 5_000, 24
+    x = np.random.default_rng(21).standard_normal((n, dim)).astype(np.float32)
+    assert n > knn.TILE
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, vec array<float>")
+    got = {(r["query_id"], r["near_id"]) for r in knn.similar_vectors(df, "id", "vec", 5, dim).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    near = np.argpartition(-sim, 4, axis=1)[:, :5]
+    late = range(knn.TILE, n)
+    assert sum((i, int(j)) in got for i in late for j in near[i]) > 0.995 * 5 * len(late)
+    assert sum((i, int(j)) in got for i in range(n) for j in near[i]) > 0.995 * 5 * n
+
+
+def test_scan_keeps_pairs_of_either_limit(monkeypatch):
+    monkeypatch.setattr(knn, "TILE", 200)
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((700, 96))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = (x @ knn.rotation(96)).astype(np.float32)
+    home = np.arange(700) % 7 != 0  # the others only ask
+    i, j, _ = knn.scan_list(q, q[home], 5, -1.0, query_of=np.flatnonzero(home))
+    met = set(zip(i.tolist(), np.flatnonzero(home)[j].tolist()))
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2)
+    want = {(a, b) for b in np.flatnonzero(home) for a in np.argsort(-sim[b])[:5] if not home[a]}
+    assert len(met & want) > 0.995 * len(want)
+
+
 # Packing and mixing
 
 
