@@ -22,6 +22,10 @@ Exact copies are searched once: they are grouped by a 128-bit hash of the
 vector, the smallest id stands for them, and answers are expanded afterwards to
 what each copy's own k best are, ties by smaller id.
 
+A part of the rows.  Where only some rows ask, no list is skipped: blocks of
+asked vectors are broadcast and compared with all rows, so their answers are
+exact, and the cost rises as rows times asked rows.
+
 Defined results: a vector is unusable if null, of another length, not finite or
 all zero, and is then neither query nor answer; a null id makes a row unusable;
 rows loaded twice (same id and content) count once; fewer than k others give
@@ -46,6 +50,8 @@ MOST_LISTS = 4_096
 #: Rows and queries of a list that are compared at once.
 TILE = 4_096
 EPS0 = 2.1
+#: Asked rows whose vectors are broadcast at once, some 16 MB at 96 columns; more are compared in several blocks.
+MOST_ASKED = 20_000
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -185,6 +191,94 @@ def best_of(owner: np.ndarray, sim: np.ndarray, k: int, slack: float) -> np.ndar
     return mask
 
 
+class Nearest:
+    """The k best rows of each asked vector so far, ties by smaller id.
+
+    ``q``: unit vectors in double; ``q_ids``: their ids, which are no answers
+    to themselves.  Similarities are settled in double and to 9 places.
+    """
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> None:
+        self.q, self.q_ids, self.k = q, q_ids, k
+        self.single = q.astype(np.float32)
+        self.sim = np.full((len(q), k), -np.inf)
+        self.ids = np.full((len(q), k), -1, np.int64)
+
+    def add(self, ids: np.ndarray, u: np.ndarray) -> None:
+        ids, first = np.unique(ids, return_index=True)  # loaded twice: the same vector
+        u = u[first]
+        x, k = u.astype(np.float32), self.k
+        for s in range(0, len(self.q), 1_024):
+            e = min(len(self.q), s + 1_024)
+            dot = self.single[s:e] @ x.T
+            cut = self.sim[s:e, -1]
+            if len(x) > k and not np.isfinite(cut).all():  # k others besides the query itself
+                cut = np.maximum(cut, np.partition(dot, len(x) - k - 1, axis=1)[:, len(x) - k - 1])
+            i, j = np.nonzero(dot >= (cut - 1e-5).astype(np.float32)[:, None])
+            other = self.q_ids[s + i] != ids[j]
+            i, j = i[other] + s, j[other]
+            if not len(i):
+                continue
+            sim = np.concatenate([np.einsum("ij,ij->i", self.q[i[a : a + 65_536]], u[j[a : a + 65_536]]) for a in range(0, len(i), 65_536)])
+            open_ = np.unique(i)
+            held = np.repeat(open_, k)
+            i, near = np.concatenate([held, i]), np.concatenate([self.ids[open_].ravel(), ids[j]])
+            sim = np.concatenate([self.sim[open_].ravel(), np.round(sim, 9)])
+            o = np.lexsort((near, -sim, i))
+            i, near, sim = i[o], near[o], sim[o]
+            once = np.concatenate([[True], (i[1:] != i[:-1]) | (near[1:] != near[:-1])]) | (near < 0) & np.isneginf(sim)
+            i, near, sim = i[once], near[once], sim[once]
+            start = np.searchsorted(i, open_)
+            rows = start[:, None] + np.arange(k)
+            self.ids[open_], self.sim[open_] = near[rows], sim[rows]
+
+
+def nearest_of_asked(d: DataFrame, k: int, dim: int, min_similarity: float, queries) -> DataFrame:
+    """The answer of ``similar_vectors`` for the rows of ``d`` (``id``, ``vec``) that meet ``queries``: exact, compared with every row.
+
+    A task keeps the k best of each asked row over all of its rows, so it hands
+    on k rows for each at most.  Every block of asked rows reads the table again.
+    """
+    spark = d.sparkSession
+    asked = d.withColumnRenamed("id", "query_id").where(queries).dropDuplicates(["query_id"])
+    if (count := asked.count()) > MOST_ASKED:
+        blocks = -(-count * 21 // (20 * MOST_ASKED))  # hashed, they differ by a few hundredths
+        asked = save(asked.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "query_id"), F.lit(blocks))), "asked").df
+        parts = [asked.where(F.col("block") == b).drop("block") for b in range(blocks)]
+    else:
+        parts = [asked]
+
+    def of_part(part: DataFrame) -> DataFrame:
+        held = part.select("query_id", "vec").toArrow()
+        keep, unit = usable_rows(held.column("vec").combine_chunks(), dim) if held.num_rows else (np.zeros(0, int), np.zeros((0, dim)))
+        shared = spark.sparkContext.broadcast((unit, held.column("query_id").to_numpy()[keep]))
+
+        def compare(batches):
+            best = Nearest(*shared.value, k)
+            for b in batches:
+                rows, u = usable_rows(b.column("vec"), dim)
+                if len(rows):
+                    best.add(b.column("id").to_numpy()[rows], u)
+            i, c = np.nonzero(np.isfinite(best.sim) & (best.sim >= min_similarity))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best.q_ids[i]), pa.array(best.ids[i, c]), pa.array(best.sim[i, c])], ["query_id", "near_id", "similarity"]
+            )
+
+        met = d.mapInArrow(compare, "query_id long, near_id long, similarity double")
+        met = met.groupBy("query_id", "near_id").agg(F.max("similarity").alias("similarity"))
+        by_query = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "near_id")
+        out = met.withColumn("rank_no", F.row_number().over(by_query)).where(F.col("rank_no") <= k)
+        if len(parts) > 1:  # one block's vectors are held at a time
+            out = save(out, "nearest").df
+            shared.destroy()
+        return out
+
+    out = of_part(parts[0])
+    for part in parts[1:]:
+        out = out.unionByName(of_part(part))
+    return out.select("query_id", "near_id", "similarity", "rank_no")
+
+
 def similar_vectors(
     df: DataFrame,
     id_col: str,
@@ -199,12 +293,15 @@ def similar_vectors(
 
     Rows below ``min_similarity`` are left out; it also starts the limit of the
     scan, so a high value makes the search faster.  ``queries`` is a condition
-    (Column) on ``query_id`` for the rows of the answer.  The number of lists
+    (Column) on ``query_id`` for the rows of the answer; with it the answer is
+    exact and ``probes`` isn't used.  Else the number of lists
     rises with the rows: rows / 600 while small, then 1.2 times their root, at
     most 4,096; with fewer lists than probes the search is exhaustive.
     """
     spark = df.sparkSession
     d = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null and vec is not null")
+    if queries is not None:
+        return nearest_of_asked(d, k, dim, min_similarity, queries)
     rows = d.count()
     lists = int(max(1, min(rows // 600, 1.2 * np.sqrt(rows), MOST_LISTS)))
     turn = rotation(dim)
@@ -277,8 +374,6 @@ def similar_vectors(
     by_answer = Window.partitionBy("rep").orderBy(F.desc("similarity"), "near_id")
     answers = answers.withColumn("rn", F.row_number().over(by_answer)).where(F.col("rn") <= k + 1).drop("rn")
     asked = member.select(F.col("id").alias("query_id"), "rep")
-    if queries is not None:
-        asked = asked.where(queries)
     out = asked.join(answers, "rep").where("query_id <> near_id")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "near_id")
     out = out.withColumn("rank_no", F.row_number().over(by_query)).where(F.col("rank_no") <= k)
@@ -297,9 +392,7 @@ def p1_found(spark, sf_dir: str) -> DataFrame:
 
 def p1_nearest(spark, sf_dir: str) -> DataFrame:
     """The five nearest of every row whose id is divisible by 50, among all rows, whatever their similarity."""
-    near = similar_vectors(
-        table(spark, sf_dir, "vectors"), "vec_id", "vec", K, DIM, probes=8, queries=F.col("query_id") % 50 == 0
-    )
+    near = similar_vectors(table(spark, sf_dir, "vectors"), "vec_id", "vec", K, DIM, queries=F.col("query_id") % 50 == 0)
     return near.select("query_id", "near_id", F.round("similarity", 3).alias("similarity"))
 
 

@@ -236,6 +236,32 @@ def test_scan_keeps_pairs_of_either_limit(monkeypatch):
     assert len(met & want) > 0.995 * len(want)
 
 
+def test_asked_rows_get_all_their_nearest_in_many_lists(spark, monkeypatch):
+    n, dim, k = 12_000, 24, 5
+    x = np.random.default_rng(23).standard_normal((n, dim)).astype(np.float32)
+    x[700:708] = x[700]
+    data = [(i, x[i].tolist()) for i in range(n)] + [(700, x[700].tolist()), (3, None), (4, [0.0] * dim), (n, [1.0]), (None, x[0].tolist())]
+    data += [(i, x[i].tolist()) for i in range(0, n, 3)]  # loaded twice
+    df = spark.createDataFrame(data, "id long, vec array<float>")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    asked = range(0, n, 50)
+    want = {}
+    for i in asked:
+        sim = np.round(u @ u[i], 9)
+        sim[i] = -2
+        want[i] = np.lexsort((np.arange(n), -sim))[:k].tolist()
+    for most in (knn.MOST_ASKED, 100):  # at once, and in several blocks
+        monkeypatch.setattr(knn, "MOST_ASKED", most)
+        got = defaultdict(list)
+        for r in knn.similar_vectors(df, "id", "vec", k, dim, queries=F.col("query_id") % 50 == 0).orderBy("rank_no").collect():
+            got[r["query_id"]].append(r["near_id"])
+        assert got == want
+    few = knn.similar_vectors(df.where("id < 3"), "id", "vec", k, dim, queries=F.col("query_id") == 0).collect()
+    assert sorted(r["near_id"] for r in few) == [1, 2]
+    assert knn.similar_vectors(df.limit(0), "id", "vec", k, dim, queries=F.col("query_id") == 0).count() == 0
+
+
 # Packing and mixing
 
 
