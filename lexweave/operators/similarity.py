@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..scratch import save
 
 #: Rows a block of the pairwise comparison holds; two blocks of 300 columns are some 40 MB.
 BLOCK_ROWS = 8_192
-#: Queries whose vectors are broadcast; more are compared in blocks like all pairs.
+#: Queries whose vectors are broadcast at once; more are compared in several blocks.
 MOST_BROADCAST_QUERIES = 50_000
 
 
@@ -69,13 +70,33 @@ def similar_pairs(vectors: DataFrame, minimum: float, key: str = "form", vec: st
 def top_n_similar(vectors: DataFrame, queries: DataFrame, n: int, key: str = "rank", vec: str = "vec") -> DataFrame:
     """(``query``, ``key``, ``similarity``, ``place``): the ``n`` rows with the highest dot product with each query vector, ties by smaller key; the query itself takes part.
 
-    ``queries`` has ``query`` and ``vec``; up to ``MOST_BROADCAST_QUERIES`` are
-    broadcast.  Every task keeps only ``n`` rows of each query before the shuffle.
+    ``queries`` has ``query`` and ``vec``.  Up to ``MOST_BROADCAST_QUERIES`` are
+    broadcast; more are hashed to blocks of at most about that many, and each
+    block is compared with all rows.  Every task keeps only ``n`` rows of each
+    query before the shuffle.
     """
-    count = queries.count()
-    if count > MOST_BROADCAST_QUERIES:
-        raise ValueError(f"{count} queries; use similar_pairs or an index for more than {MOST_BROADCAST_QUERIES}")
-    held = queries.where("vec is not null").select("query", "vec").toArrow()
+    asked = queries.where("vec is not null").select("query", "vec")
+    count = asked.count()
+    if count <= MOST_BROADCAST_QUERIES:
+        return _top_n_of_block(vectors, asked, n, key, vec)[0]
+    blocks = -(-count * 21 // (20 * MOST_BROADCAST_QUERIES))  # hashed, they differ by a few hundredths
+    asked = save(asked.withColumn("block", F.pmod(F.xxhash64("query", "vec"), F.lit(blocks))), "queries").df
+    out = None
+    for b in range(blocks):
+        part, shared = _top_n_of_block(vectors, asked.where(F.col("block") == b).drop("block"), n, key, vec)
+        part = save(part.drop("place"), "top-n").df  # so that the vectors of one block are held at a time
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return _placed(out, n)
+
+
+def _placed(found: DataFrame, n: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "key")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def _top_n_of_block(vectors: DataFrame, queries: DataFrame, n: int, key: str, vec: str):
+    held = queries.toArrow()
     shared = vectors.sparkSession.sparkContext.broadcast((held.column("query").combine_chunks() if held.num_rows else None, _matrix(held.column("vec"))))
 
     def nearest(batches):
@@ -100,8 +121,7 @@ def top_n_similar(vectors: DataFrame, queries: DataFrame, n: int, key: str = "ra
     source = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec")).where("vec is not null")
     kind = queries.schema["query"].dataType.simpleString()
     part = source.mapInArrow(nearest, f"query {kind}, key long, similarity double")
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "key")
-    return part.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return _placed(part, n), shared
 
 
 def most_similar(vectors: DataFrame, queries: DataFrame, key: str = "rank", vec: str = "vec") -> DataFrame:

@@ -124,6 +124,18 @@ def test_pairs_top_and_analogy(spark):
     assert S.similar_pairs(df.limit(0), 0.5, "rank").count() == 0
 
 
+def test_more_queries_than_are_broadcast_are_compared_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(31).standard_normal((300, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "rank long, vec array<float>")
+    q = df.where("rank < 90").select(F.col("rank").alias("query"), "vec")
+    q = q.unionByName(spark.createDataFrame([(500, None)], "query long, vec array<float>"))
+    monkeypatch.setattr(S, "MOST_BROADCAST_QUERIES", 20)
+    got = {(r["query"], r["place"]): r["key"] for r in S.top_n_similar(df, q, 4).collect()}
+    sim = np.round(x[:90].astype(float) @ x.T.astype(float), 9)
+    assert got == {(i, p + 1): int(k) for i in range(90) for p, k in enumerate(np.lexsort((np.arange(300), -sim[i]))[:4])}
+    assert {(r["query"], r["key"]) for r in S.most_similar(df, q).collect()} == {(i, got[i, 1]) for i in range(90)}
+
+
 def _kruskal(links, terms, k):
     parent = {t: t for t in terms}
 
