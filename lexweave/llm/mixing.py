@@ -34,43 +34,48 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import sized_documents
 
-#: Repeats a source without a cap gets at most in a row of the distribution table, far above any mean in use.
-MOST_COUNT = 2_000
+#: From this mean on, the distribution table holds only counts around the mean; lower probabilities are below the 53 bits of a uniform number.
+WINDOW_MEAN = 500.0
 
 
-def poisson_cut_off(mean: float, cap: int | None) -> list[float]:
-    """Cumulative probabilities of counts 0, 1, ... whose mean is ``mean`` after cutting counts off at ``cap``."""
+def poisson_table(mean: float, cap: int | None) -> tuple[int, list[float]]:
+    """``first``, and cumulative probabilities of counts ``first``, ``first`` + 1, ... whose mean is ``mean`` after cutting counts off at ``cap``."""
     if mean <= 0:
-        return [1.0]
+        return 0, [1.0]
     if cap is not None and mean >= cap:
-        return [0.0] * cap + [1.0]
+        return cap, [1.0]
 
-    def cumulative(lam: float) -> list[float]:
-        out, p, total, k = [], math.exp(-lam), 0.0, 0
-        if p == 0.0:  # far from 0: start where probabilities can be held
-            logs = [k * math.log(lam) - lam - math.lgamma(k + 1) for k in range(min(MOST_COUNT, int(lam + 40 * math.sqrt(lam) + 40)))]
+    def cumulative(lam: float) -> tuple[int, list[float]]:
+        first, out = 0, []
+        if lam >= WINDOW_MEAN:
+            root = math.sqrt(lam)
+            first = int(lam - 9 * root)
             acc = 0.0
-            for x in logs:
-                acc += math.exp(x)
-                out.append(min(1.0, acc))
+            for k in range(first, int(lam + 12 * root + 40)):
+                acc += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
+                out.append(acc)
+            out = [x / acc for x in out]
         else:
-            while total < 1 - 1e-12 and k < MOST_COUNT:
+            p, total, k = math.exp(-lam), 0.0, 0
+            while total < 1 - 1e-12 and (k <= lam or p > 1e-18):
                 total += p
                 out.append(total)
                 k += 1
                 p *= lam / k
         if cap is not None:
-            out = (out + [1.0] * (cap + 1))[: cap + 1]
+            if first >= cap:
+                return cap, [1.0]
+            out = out[: cap + 1 - first]
         out[-1] = 1.0
-        return out
+        return first, out
 
-    def mean_of(c: list[float]) -> float:
-        return sum(1 - x for x in c)
+    def mean_of(t: tuple[int, list[float]]) -> float:
+        return t[0] + sum(1 - x for x in t[1])
 
     if cap is None:
         return cumulative(mean)
     low, high = mean, mean + 1.0
-    while mean_of(cumulative(high)) < mean and high < 600:
+    while mean_of(cumulative(high)) < mean:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
@@ -78,6 +83,12 @@ def poisson_cut_off(mean: float, cap: int | None) -> list[float]:
     return cumulative(high)
 
 
+def poisson_cut_off(mean: float, cap: int | None) -> list[float]:
+    """Cumulative probabilities of ``poisson_table`` from count 0 on."""
+    first, out = poisson_table(mean, cap)
+    return [0.0] * first + out
+
+
 def plan_mix(tokens: dict[str, int], shares: dict[str, float], caps: dict[str, int | None], total: float | None = None) -> dict[str, float]:
     """Mean repeats of each source."""
     live = {s: w for s, w in shares.items() if w and w > 0 and tokens.get(s)}
@@ -129,11 +140,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: float
         rates = plan_mix(tokens, {g["source"]: g["target_share"] for g in mine}, caps, total_tokens)
         for g in mine:
             if rates.get(g["source"], 0) > 0:
-                rows.append((name, g["source"], float(g["target_share"]), float(rates[g["source"]]), poisson_cut_off(rates[g["source"]], caps[g["source"]])))
-    plan = spark.createDataFrame(rows, "mix_name string, source string, target_share double, mean_repeats double, cumulative array<double>")
+                rows.append((name, g["source"], float(g["target_share"]), float(rates[g["source"]]), *poisson_table(rates[g["source"]], caps[g["source"]])))
+    plan = spark.createDataFrame(rows, "mix_name string, source string, target_share double, mean_repeats double, first int, cumulative array<double>")
     u = uniform(seed, F.col("mix_name"), F.col("doc_id"))
-    # The count is the number of cumulative probabilities that the uniform number has reached.
-    count = F.aggregate("cumulative", F.lit(0), lambda n, c: n + F.when(c <= F.col("u"), 1).otherwise(0))
+    # The count is the first of the table and the number of cumulative probabilities that the uniform number has reached.
+    count = F.col("first") + F.aggregate("cumulative", F.lit(0), lambda n, c: n + F.when(c <= F.col("u"), 1).otherwise(0))
     chosen = docs.join(F.broadcast(plan), "source").withColumn("u", u).withColumn("n_copies", count).where("n_copies > 0")
     got = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("got"))
     whole = got.groupBy("mix_name").agg(F.sum("got").alias("whole"))

@@ -299,6 +299,17 @@ def test_poisson_with_a_cap_keeps_its_mean():
         assert cap is None or len(c) <= cap + 1
 
 
+def test_large_means_are_not_cut(spark):
+    for mean, cap in ((499.0, None), (744.0, None), (3_000.0, None), (250_000.0, None), (700.0, 701), (2_999.0, 5_000), (4_000.0, 4_000)):
+        c = mixing.poisson_cut_off(mean, cap)
+        assert sum(1 - x for x in c) == pytest.approx(mean, rel=1e-3)
+        assert c[-1] == 1 and (cap is None or len(c) <= cap + 1)
+    docs = spark.createDataFrame([(i, "big", 1_000) for i in range(20)] + [(20, "few", 1), (21, "few", 1)], "doc_id long, source string, n_tokens long")
+    t = spark.createDataFrame([("m", "big", 0.5, None), ("m", "few", 0.5, None)], "mix_name string, source string, target_share double, max_repeats int")
+    per = mixing.mix(docs, t).where("source = 'few'").groupBy("doc_id").count().collect()
+    assert len(per) == 2 and all(abs(r["count"] - 5_005) < 500 for r in per)
+
+
 def test_mixing_shares_and_caps(spark):
     docs = spark.createDataFrame([(i, "big" if i % 10 else "small", 100) for i in range(5_000)] + [(9_001, None, 50), (9_002, "big", None)], "doc_id long, source string, n_tokens long")
     t = spark.createDataFrame([("m", "big", 0.6, None), ("m", "small", 0.4, 3), ("m", "none", 0.5, 2), ("n", "small", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
