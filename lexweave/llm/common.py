@@ -27,6 +27,18 @@ def usable_number(c: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
+#: Rows of a list of words or names that is collected and sent to every task.
+MOST_LISTED = 1_000_000
+
+
+def whole_list(df: DataFrame, what: str) -> list:
+    """All rows of a list that must be small; ``ValueError`` if it has more than ``MOST_LISTED``, so none is left out unseen."""
+    rows = df.limit(MOST_LISTED + 1).collect()
+    if len(rows) > MOST_LISTED:
+        raise ValueError(f"{what} has more than {MOST_LISTED} rows, too many to send to every task")
+    return rows
+
+
 #: Repeated keys that are broadcast, a few dozen bytes each; more of them are joined by a shuffle.
 MOST_BROADCAST_KEYS = 200_000
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..share import share
-from .common import table
+from .common import table, whole_list
 
 TRAINING_DOCS = 1_200
 #: Share of training sentences in which the field doesn't see what the rules say.
@@ -680,7 +680,7 @@ def _skip_potential(docs: list[Doc], field: Field, common: set[str]) -> np.ndarr
 
 
 def known_names(names: DataFrame) -> Names:
-    rows = names.where("name_text is not null").select("name_text", "name_kind").distinct().limit(1_000_000).collect()
+    rows = whole_list(names.where("name_text is not null").select("name_text", "name_kind").distinct(), "known_names")
     of = lambda k: {r["name_text"].lower() for r in rows if r["name_kind"] == k}
     return Names(of("given"), of("family"))
 
@@ -696,7 +696,7 @@ def find_personal(documents: DataFrame, names: DataFrame, common_words: DataFram
     step = max(1, n // TRAINING_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCS)
     texts = [r["text"] for r in sample.collect()]
-    common = {r["word"].lower() for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()}
+    common = {r["word"].lower() for r in whole_list(common_words.where("word is not null").select("word").distinct(), "common_words")}
     known = known_names(names)
     field = train(texts, known, common)
     field.name_cache = {}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..share import share
-from .common import table
+from .common import table, whole_list
 
 MOST_RATED, MOST_LINES, FEWEST_RATED = 6_000, 60_000, 60
 KINDS = ("prose", "list", "table", "junk")
@@ -304,7 +304,7 @@ def judge(model: LineModel, text: str | None) -> dict:
 def quality(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> DataFrame:
     """Figures and kind of every document."""
     spark = documents.sparkSession
-    common = {r["word"].lower() for r in common_words.where("word is not null").select("word").distinct().limit(100_000).collect()}
+    common = {r["word"].lower() for r in whole_list(common_words.where("word is not null").select("word").distinct(), "common_words")}
     shared = share(spark, train(rated_sample(documents, labels), common))
     names = [x.split()[0] for x in RESULT.split(", ")]
 

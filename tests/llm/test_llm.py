@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import cooccur, frequency, knn, mixing, packing, pii, quality, topn
+from lexweave.llm import common, cooccur, frequency, knn, mixing, packing, pii, quality, topn
 from lexweave.llm.common import first_deliveries, repeated_keys
 from lexweave.llm.components import group_pairs
 
@@ -262,6 +262,19 @@ def test_asked_rows_get_all_their_nearest_in_many_lists(spark, monkeypatch):
     assert knn.similar_vectors(df.limit(0), "id", "vec", k, dim, queries=F.col("query_id") == 0).count() == 0
 
 
+def test_lists_of_words_and_names_are_whole_or_refused(spark, monkeypatch):
+    names = spark.createDataFrame([(f"Name{i}", "family") for i in range(7)], "name_text string, name_kind string")
+    words = spark.createDataFrame([(f"word{i}",) for i in range(7)], "word string")
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, label string")
+    monkeypatch.setattr(common, "MOST_LISTED", 7)
+    assert len(pii.known_names(names).family) == 7
+    monkeypatch.setattr(common, "MOST_LISTED", 6)
+    for ask in (lambda: pii.known_names(names), lambda: pii.find_personal(docs, names.limit(1), words), lambda: quality.quality(docs, labels, words)):
+        with pytest.raises(ValueError, match="more than 6 rows"):
+            ask()
+
+
 # Packing and mixing
 
 
