@@ -1,11 +1,12 @@
 """Top N items within every group: hot-cold split.
 
 Exact group counts divide the rows.  Light groups go through an ordinary
-window: one shuffle on the group, of which Spark's group limit lets at most N
-rows of a group leave each task.  Heavy groups never meet in one task: their
+window: one shuffle on the group.  Heavy groups never meet in one task: their
 rows are range-sorted on (group, score, tie, salt), so one group covers many
-tasks; each task keeps its own first N rows of a group, and the few rows that
-remain are ranked once more.
+tasks in the order of the ranks.  Each task numbers its rows of a group itself
+and lets only the first N pass, whatever N is; a row's rank is its number plus
+the rows that earlier tasks kept of its group, a table of one row per task and
+group.  No task sees a heavy group whole, and none is ranked again.
 
 Defined results: rows with a null group form a group of their own; null and
 NaN scores rank last; an exact tie in score and tie columns is broken by a hash
@@ -15,8 +16,12 @@ table gives an empty result.  Columns the caller has under any name are kept.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..scratch import save
 from .common import compared_form, table, usable_number
@@ -25,6 +30,33 @@ from .common import compared_form, table, usable_number
 MOST_HEAVY_GROUPS = 20_000
 
 
+def _numbered(batches, group: str, n: int):
+    """Sorted batches of a task with its number and each row's number within the group, from 1; only the first ``n`` of a group."""
+    part = TaskContext.get().partitionId()
+    last, count = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = b.column(group)
+        if pa.types.is_floating(col.type):  # so that NaN equals itself
+            col = pc.cast(col, pa.string())
+        runs = pc.run_end_encode(col)
+        ends, values = runs.run_ends.to_pylist(), runs.values
+        first = values[0].as_py()
+        if last is None or last[0] != first:
+            count = 0
+        keep, number, at = [], [], 0
+        for end in ends:
+            take = min(end - at, max(0, n - count))
+            keep.append(pa.array(range(at, at + take), pa.int64()))
+            number.append(pa.array(range(count + 1, count + take + 1), pa.int64()))
+            final = count + end - at
+            at, count = end, 0
+        last, count = (values[len(values) - 1].as_py(),), final
+        kept, number = b.take(pa.concat_arrays(keep)), pa.concat_arrays(number)
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.repeat(pa.scalar(part, pa.int32()), len(number)), number], [*kept.schema.names, "__part", "__number"])
+
+
 def top_n_per_group(
     df: DataFrame,
     group: str,
@@ -56,14 +88,21 @@ def top_n_per_group(
     salt = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() != "map"])
     order = [value.desc_nulls_last(), *ties, salt]
     ranked = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    cold = light.withColumn(rank_col, ranked).where(F.col(rank_col) <= n)
+    if heavy.isEmpty():
+        return cold
 
-    def first_n(x: DataFrame) -> DataFrame:
-        return x.withColumn(rank_col, ranked).where(F.col(rank_col) <= n)
-
-    # The range sort leaves each task with whole sort runs, so the group limit below it needs no further sort.
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = hot.repartitionByRange(parts, F.col(group), *order).sortWithinPartitions(F.col(group), *order)
-    return first_n(light).unionByName(first_n(spread))
+    schema = StructType([*spread.schema.fields, StructField("__part", IntegerType()), StructField("__number", LongType())])
+    kept = save(spread.mapInArrow(lambda batches: _numbered(batches, group, n), schema), "hot-rows").df
+    size = kept.groupBy(F.col("__part").alias("__p"), F.col(group).alias("__g")).agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    # Sorted tasks meet a group in a row, so there are at most as many rows as tasks and heavy groups together.
+    size = size.select("__p", "__g", F.coalesce(before, F.lit(0)).alias("__before"))
+    hot = kept.join(F.broadcast(size), (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    hot = hot.withColumn(rank_col, (F.col("__number") + F.col("__before")).cast("int")).where(F.col(rank_col) <= n)
+    return cold.unionByName(hot.select(*cold.columns))
 
 
 def thesaurus_candidates(thesaurus: DataFrame) -> DataFrame:

@@ -45,6 +45,19 @@ def test_top_n_empty_and_whole_ties(spark):
     assert len(a) == 3 and a == b
 
 
+def test_top_n_cuts_heavy_groups_in_every_task_whatever_n(spark, monkeypatch):
+    data = [("hot", float(i % 700), i) for i in range(6_000)] + [(None, 1.0, i) for i in range(50)]
+    df = spark.createDataFrame(data, "g string, s double, id long").repartition(5)
+    written = []
+    real = topn.save
+    monkeypatch.setattr(topn, "save", lambda d, name: (lambda t: (written.append((name, t)), t)[1])(real(d, name)))
+    got = {r["rank_no"]: r["id"] for r in topn.top_n_per_group(df, "g", "s", [F.col("id").asc()], 2_500, heavy_rows=100).where("g = 'hot'").collect()}
+    want = sorted(range(6_000), key=lambda i: (-(i % 700), i))[:2_500]
+    assert [got[k] for k in range(1, 2_501)] == want
+    hot = next(t for name, t in written if name == "hot-rows").df.groupBy("__part").count().collect()
+    assert len(hot) > 1 and all(r["count"] < 6_000 for r in hot)  # no task held the whole group
+
+
 def test_thesaurus_candidates_forms_and_repeats(spark):
     data = [(1, "A_b", "c", 0.5), (2, "a  b", "C", 0.9), (3, "a b", "c", 0.9), (4, "a b", "A_B", 1.0), (5, None, "c", 1.0), (6, "a b", "d", None), (7, "a b", "e", float("nan"))]
     t = spark.createDataFrame(data, "entry_id long, p1 string, p2 string, overall double")
