@@ -11,9 +11,10 @@ row of a table or junk; a text of which over half the lines are no prose is of
 the kind most of these have.
 
 The softmax is trained on the rated sample: at most ``MOST_RATED`` documents,
-the rating most raters gave, and at most ``MOST_LINES`` lines of them.  With
-fewer than ``FEWEST_RATED`` rated documents its weights are too uncertain, and
-plain limits on the same figures decide.  Everything else covers all texts.
+the rating most raters gave, and at most ``MOST_LINES`` lines of them.  Its
+weights start from ``PRIOR`` and are drawn back to it the more, the fewer
+documents are rated, so one model serves any number of ratings, also none.
+Everything else covers all texts.
 
 Defined results: null and blank texts have zero counts, null ratios and a null
 kind; a text of one line has no autocorrelation (0); null ids are kept; rated
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ..share import share
 from .common import table, whole_list
 
-MOST_RATED, MOST_LINES, FEWEST_RATED = 6_000, 60_000, 60
+MOST_RATED, MOST_LINES = 6_000, 60_000
 KINDS = ("prose", "list", "table", "junk")
 N_WORDS = 400
 
@@ -56,6 +57,15 @@ LINE_FIGURES = (
     "near_common near_stop near_words near_repeated doc_words doc_common doc_stop doc_commas mark_kinds one_word long_word controls"
 ).split()
 
+#: Weights before any rating is seen: what makes a line an item of a list, a row of a table or junk.
+PRIOR = {
+    "list": {"bias": -3.0, "mark": 2.5, "near_mark": 3.0},
+    "table": {"bias": -3.0, "aligned": 2.0, "near_aligned": 2.0},
+    "junk": {"bias": -3.0, "symbols": 5.0, "repeated": 4.0, "fill": 5.0, "hex": 4.0, "long_word": 1.5, "one_word": 0.5},
+}
+#: Pull towards the prior: of any training, and what a single rated document leaves of it.
+DECAY, PRIOR_DECAY = 2e-4, 0.4
+
 
 def autocorrelation(x: np.ndarray, most_lag: int = 4) -> float:
     """Largest autocorrelation at lags 1 to ``most_lag``; 1 for a constant series, 0 for fewer than 4 values."""
@@ -81,7 +91,7 @@ def _around(x: np.ndarray, reach: int = 3) -> np.ndarray:
 class Reader:
     """Figures of texts.  ``common``: common words; ``pairs``: log share of letter pairs, 27 x 27."""
 
-    def __init__(self, common: set[str], pairs: np.ndarray | None, vocabulary: dict[str, int]) -> None:
+    def __init__(self, common: set[str], pairs: np.ndarray, vocabulary: dict[str, int]) -> None:
         self.common, self.pairs, self.vocabulary = common, pairs, vocabulary
 
     def lines(self, text: str):
@@ -107,7 +117,7 @@ class Reader:
             columns = [m.end() for m in _COLUMN.finditer(x)]
             count = [s.count(d) for d in _DELIMITERS]
             odd = 0.0
-            if self.pairs is not None and words:
+            if words:
                 odd = self._oddness(words)
             inner = len(_INNER.findall(s)) if symbols else 0
             row = f[i]
@@ -207,39 +217,33 @@ def letter_pairs(texts: list[str]) -> np.ndarray:
 
 
 class LineModel:
-    def __init__(self, reader: Reader, weights: np.ndarray | None) -> None:
+    def __init__(self, reader: Reader, weights: np.ndarray) -> None:
         self.reader, self.weights = reader, weights
 
     def kinds(self, f: np.ndarray, words: list[list[int]]) -> np.ndarray:
         """Kind of each line, by number."""
-        if self.weights is None:
-            return by_limits(f)
         base = len(LINE_FIGURES)
         z = f @ self.weights[:base]
         for i, w in enumerate(words):
             if w:
                 z[i] += self.weights[base:][w].sum(0)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        return p.argmax(1)
+        return z.argmax(1)
 
 
-def by_limits(f: np.ndarray) -> np.ndarray:
-    col = {k: f[:, i] for i, k in enumerate(LINE_FIGURES)}
-    kind = np.zeros(len(f), np.int64)
-    kind[(col["mark"] > 0) & (col["near_mark"] > 0)] = 1
-    kind[(col["aligned"] > 0) & (col["near_aligned"] > 0)] = 2
-    junk = (col["symbols"] > 0.3) | (col["repeated"] >= 0.6) | (col["fill"] > 0.3) | (col["hex"] > 0.6) | ((col["one_word"] > 0) & (col["long_word"] >= 1))
-    kind[junk & (kind != 2)] = 3
-    return kind
+def prior_weights(words: int) -> np.ndarray:
+    w = np.zeros((len(LINE_FIGURES) + words, len(KINDS)), np.float32)
+    for kind, figures in PRIOR.items():
+        for figure, x in figures.items():
+            w[LINE_FIGURES.index(figure), KINDS.index(kind)] = x
+    return w
 
 
 def train(rated: list[tuple[str, str]], common: set[str], seed: int = 5, rounds: int = 250) -> LineModel:
     """A model from (text, kind) of rated documents."""
     rated = [(t, k) for t, k in rated if t and t.strip() and k in KINDS]
-    pairs = letter_pairs([t for t, k in rated if k == "prose"]) if rated else None
-    if len(rated) < FEWEST_RATED:
-        return LineModel(Reader(common, None, {}), None)
+    pairs = letter_pairs([t for t, k in rated if k == "prose"])
+    if not rated:
+        return LineModel(Reader(common, pairs, {}), prior_weights(0))
     seen = Counter(w for t, _ in rated for w in set(_WORD.findall(t.lower())))
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:N_WORDS])}
     reader = Reader(common, pairs, vocabulary)
@@ -261,14 +265,15 @@ def train(rated: list[tuple[str, str]], common: set[str], seed: int = 5, rounds:
     share = np.bincount(y, weights=weight, minlength=len(KINDS))
     weight = (weight * (share.sum() / np.maximum(share, 1e-9) / len(KINDS))[y] ** 0.5).astype(np.float32)
     weight /= weight.sum()
-    w = np.zeros((x.shape[1], len(KINDS)), np.float32)
+    prior = prior_weights(len(vocabulary))
+    w, decay = prior.copy(), DECAY + PRIOR_DECAY / len(rated)
     target = np.eye(len(KINDS), dtype=np.float32)[y]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         z = x @ w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = x.T @ ((p - target) * weight[:, None]) + 2e-4 * w
+        g = x.T @ ((p - target) * weight[:, None]) + decay * (w - prior)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.06 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return LineModel(reader, w)

@@ -381,6 +381,17 @@ def test_quality_learns_from_ratings():
     assert sum(quality.judge(model, t)["kind"] == k for t, k in held) >= 38
 
 
+def test_quality_model_is_the_same_at_any_number_of_ratings():
+    listed = "\n".join(f"- item {i} of the list" for i in range(8))
+    kinds = []
+    for n in (0, 1, 3, 40):
+        rated = [(f"They came and saw the house {i}. It was late, and we left.", "prose") for i in range(n)]
+        model = quality.train(rated, {"the", "and", "we"})
+        assert model.weights.shape[0] >= len(quality.LINE_FIGURES)
+        kinds.append(quality.judge(model, listed)["kind"])
+    assert kinds == ["list"] * 4
+
+
 def test_autocorrelation():
     assert quality.autocorrelation(np.array([1.0, 5, 1, 5, 1, 5, 1, 5])) > 0.7
     assert quality.autocorrelation(np.array([1.0, 2])) == 0.0 and quality.autocorrelation(np.ones(9)) == 1.0
