@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexweave.llm import common, cooccur, frequency, knn, mixing, packing, pii, quality, topn
 from lexweave.llm.common import first_deliveries, repeated_keys
 from lexweave.llm.components import group_pairs
+from lexweave.scratch import save
 
 WORDS = "a b c d e f g h the the the x1 -- zxzxpztime".split()
 
@@ -118,9 +119,9 @@ def _same(got, want):
         assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1])
 
 
-def test_pair_counts_change_by_change(spark, monkeypatch):
+def test_pair_counts_change_by_change(spark, monkeypatch, tmp_path):
     first, more = _records(150, 3), _records(40, 4) + [["new", "NEWER", None]]
-    counts = cooccur.PairCounts(spark, 5)
+    counts = cooccur.PairCounts(spark, str(tmp_path / "a"), 5)
     counts.load(spark.createDataFrame([(r,) for r in first], "words array<string>"))
     _same(_scores(counts), _brute_pairs(first))
     changes = [(first[i], more[i]) for i in range(20)] + [(None, m) for m in more[20:]] + [(first[30], None)]
@@ -128,18 +129,60 @@ def test_pair_counts_change_by_change(spark, monkeypatch):
     now = more + first[20:30] + first[31:]
     _same(_scores(counts), _brute_pairs(now))
     monkeypatch.setattr(cooccur, "MOST_BROADCAST_TERMS", 1)
-    joined = cooccur.PairCounts(spark, 3)
+    joined = cooccur.PairCounts(spark, str(tmp_path / "b"), 3)
     joined.load(spark.createDataFrame([(r,) for r in first], "words array<string>"))
     _same(_scores(joined), _brute_pairs(first))
 
 
-def test_pair_blocks_and_long_records(spark):
+def _folders(path):
+    return {p.relative_to(path).as_posix() for p in path.glob("pairs/*/bucket=*")}
+
+
+def test_another_session_opens_pair_counts_and_rewrites_few_buckets(spark, tmp_path):
+    first = _records(300, 8) + [[f"w{i}", f"w{i + 1}"] for i in range(400)]
+    cooccur.PairCounts(spark, str(tmp_path), 256).load(spark.createDataFrame([(r,) for r in first], "words array<string>"))
+    counts = cooccur.PairCounts.open(spark.newSession(), str(tmp_path))
+    old, before = save(counts.scores(1, None), "scores").df, _folders(tmp_path)
+    changes = [([f"w{i}", f"w{i + 1}"], [f"w{i}", f"w{i + 2}"]) for i in range(10, 20)]
+    counts.update(spark.createDataFrame(changes, "old array<string>, new array<string>"))
+    again = cooccur.PairCounts.open(spark, str(tmp_path))
+    assert again.version == 2 and again.n_records == counts.n_records
+    now = _folders(tmp_path)
+    assert 0 < len(now - before) <= 20 < len(now & before)  # twenty pairs changed, no other bucket was written
+    records = first[:]
+    for a, b in changes:
+        records[records.index(a)] = b
+    want = _brute_pairs(records)
+    _same(_scores(again), want)
+    # The number of records is as before, so only pairs with a changed term were scored again.
+    touched = {r["term"] for r in counts.changed.collect()}
+    fresh = {(r["term_a"], r["term_b"]): r["npmi"] for r in counts.rescored(1, None).collect()}
+    assert touched == {f"w{i}" for i in range(11, 22)} and fresh.keys() == {k for k in want if touched & set(k)}
+    _same({(r["term_a"], r["term_b"]): (r["n_records"], r["npmi"]) for r in counts.refreshed(old, 1, None).collect()}, want)
+
+
+def test_many_updates_are_written_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cooccur, "MOST_GENERATIONS", 2)
+    counts, records = cooccur.PairCounts(spark, str(tmp_path), 64), []
+    for i in range(4):
+        records += (more := [[f"x{i}", f"y{i}"], ["x0", f"z{i}"]])
+        counts.load(spark.createDataFrame([(r,) for r in more], "words array<string>"))
+    assert len(counts.pairs.live) <= 2
+    _same(_scores(counts), _brute_pairs(records))
+
+
+def test_counts_beyond_32_bits():
+    keys, n = cooccur.unpack(cooccur.pack(np.array([3, 9]), np.array([2**31 + 7, -(2**40)])))
+    assert keys.tolist() == [3, 9] and n.tolist() == [2**31 + 7, -(2**40)]
+
+
+def test_pair_blocks_and_long_records(spark, tmp_path):
     keys, n = np.array([1, 5, 1 << 40, (1 << 62) + 3]), np.array([1, -2, 7, 3])
     a, b = cooccur.unpack(cooccur.pack(keys, n))
     assert a.tolist() == keys.tolist() and b.tolist() == n.tolist()
     ids = np.arange(2_300)
     assert sum(len(k) for k in cooccur.record_pairs(np.zeros(2_300, np.int64), ids)) == 2_300 * 2_299 // 2
-    empty = cooccur.PairCounts(spark, 2)
+    empty = cooccur.PairCounts(spark, str(tmp_path), 2)
     empty.load(spark.createDataFrame([], "words array<string>"))
     assert _scores(empty) == {}
 
