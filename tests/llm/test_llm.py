@@ -250,46 +250,78 @@ def test_nearest_vectors_with_copies_and_unusable_rows(spark):
     assert knn.similar_vectors(df.limit(0), "id", "vec", 5, 16).count() == 0
 
 
-def test_adaptive_scan_loses_little():
+def _unit(n, dim, seed):
+    x = np.random.default_rng(seed).standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_adaptive_scan_loses_little_and_abandons_most():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((3_000, 96))
     x[1500:] = x[:1500] + 0.4 * rng.standard_normal((1500, 96))
     x = (x / np.linalg.norm(x, axis=1)[:, None] @ knn.rotation(96)).astype(np.float32)
-    i, j, _ = knn.scan_list(x, x, 5, 0.8)
-    found = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b}
-    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.8001)) if a != b}
-    assert len(found & want) >= 0.995 * len(want)
+    met = np.zeros(4, np.int64)
+    start = np.full(len(x), 0.8, np.float32)
+    i, j, *_ = knn.scan(x, x, start, start, 5, same=True, met=met)
+    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.8001)) if a > b}
+    assert len(set(zip(i.tolist(), j.tolist())) & want) >= 0.995 * len(want)
+    assert met[1] < 0.05 * met[0]
+
+
+def test_limits_tighten_without_a_least_similarity():
+    rng = np.random.default_rng(9)
+    centre = _unit(30, 96, 10)
+    x = centre[rng.integers(0, 30, 2_400)] + 0.08 * rng.standard_normal((2_400, 96))
+    x = (x / np.linalg.norm(x, axis=1)[:, None] @ knn.rotation(96)).astype(np.float32)
+    met = np.zeros(4, np.int64)
+    start = np.full(len(x), -1, np.float32)
+    i, j, _, limit = knn.scan(x, x, start, start, 5, same=True, met=met)
+    assert met[3] < 0.3 * met[0]  # most candidates are abandoned before the last block
+    sim = x @ x.T
+    np.fill_diagonal(sim, -2)
+    near = np.argpartition(-sim, 4, axis=1)[:, :5]
+    got = set(zip(i.tolist(), j.tolist()))
+    assert sum((max(a, b), min(a, b)) in got for a in range(len(x)) for b in near[a]) > 0.995 * near.size
+    assert np.all(limit <= np.sort(sim, axis=1)[:, -5] + 1e-4)
 
 
-def test_list_of_several_tiles_keeps_the_neighbours_of_both_rows(spark, monkeypatch):
-    monkeypatch.setattr(knn, "MOST_LISTS", 1)
-    n, dim = 5_000, 24
-    x = np.random.default_rng(21).standard_normal((n, dim)).astype(np.float32)
-    assert n > knn.TILE
+def test_share_of_columns_matches_random_directions():
+    u = _unit(20_000, 96, 11)
+    for d in (24, 48, 72):
+        assert abs((((u[:, :d] ** 2).sum(1)) > knn.largest_share(d, 96, 0.02)).mean() - 0.02) < 0.006
+
+
+def test_a_large_list_is_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MOST_HOME", 700)
+    monkeypatch.setattr(knn, "MOST_SAMPLED", 16)  # two lists
+    n, dim = 4_000, 24
+    x = _unit(n, dim, 21).astype(np.float32)
     df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, vec array<float>")
-    got = {(r["query_id"], r["near_id"]) for r in knn.similar_vectors(df, "id", "vec", 5, dim).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    sim = u @ u.T
+    sim = x @ x.T
     np.fill_diagonal(sim, -2)
     near = np.argpartition(-sim, 4, axis=1)[:, :5]
-    late = range(knn.TILE, n)
-    assert sum((i, int(j)) in got for i in late for j in near[i]) > 0.995 * 5 * len(late)
+    got = {(r["query_id"], r["near_id"]) for r in knn.similar_vectors(df, "id", "vec", 5, dim).collect()}
     assert sum((i, int(j)) in got for i in range(n) for j in near[i]) > 0.995 * 5 * n
+    asked = {(r["query_id"], r["near_id"]) for r in knn.similar_vectors(df, "id", "vec", 5, dim, queries=F.col("query_id") % 10 == 0).collect()}
+    assert len(asked) == 5 * n // 10
+    assert sum((i, int(j)) in asked for i in range(0, n, 10) for j in near[i]) > 0.99 * n // 2
 
 
 def test_scan_keeps_pairs_of_either_limit(monkeypatch):
-    monkeypatch.setattr(knn, "TILE", 200)
-    rng = np.random.default_rng(22)
-    x = rng.standard_normal((700, 96))
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(knn, "TILE", 64)
+    x = _unit(700, 96, 22)
     q = (x @ knn.rotation(96)).astype(np.float32)
-    home = np.arange(700) % 7 != 0  # the others only ask
-    i, j, _ = knn.scan_list(q, q[home], 5, -1.0, query_of=np.flatnonzero(home))
-    met = set(zip(i.tolist(), np.flatnonzero(home)[j].tolist()))
+    home = np.arange(700) % 7 != 0  # the others visit
+    start = np.full(700, -1, np.float32)
+    i, j, *_ = knn.scan(q[~home], q[home], start[~home], start[home], 5)
+    met = set(zip(np.flatnonzero(~home)[i].tolist(), np.flatnonzero(home)[j].tolist()))
     sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    want = {(a, b) for b in np.flatnonzero(home) for a in np.argsort(-sim[b])[:5] if not home[a]}
-    assert len(met & want) > 0.995 * len(want)
+    for rows, cols in ((home, ~home), (~home, home)):
+        part = sim[np.ix_(rows, cols)]
+        near = np.argpartition(-part, 4, axis=1)[:, :5]
+        want = {(int(np.flatnonzero(rows)[a]), int(np.flatnonzero(cols)[b])) for a in range(len(part)) for b in near[a]}
+        want = {(b, a) for a, b in want} if rows is home else want
+        assert len(met & want) > 0.995 * len(want)
 
 
 def test_asked_rows_get_all_their_nearest_in_many_lists(spark, monkeypatch):
@@ -310,9 +342,15 @@ def test_asked_rows_get_all_their_nearest_in_many_lists(spark, monkeypatch):
     for most in (knn.MOST_ASKED, 100):  # at once, and in several blocks
         monkeypatch.setattr(knn, "MOST_ASKED", most)
         got = defaultdict(list)
-        for r in knn.similar_vectors(df, "id", "vec", k, dim, queries=F.col("query_id") % 50 == 0).orderBy("rank_no").collect():
+        plain = df.where("id is not null and vec is not null")
+        for r in knn.nearest_of_asked(plain, k, dim, -1.0, F.col("query_id") % 50 == 0).orderBy("rank_no").collect():
             got[r["query_id"]].append(r["near_id"])
         assert got == want
+    found = defaultdict(list)  # with all lists probed, the lists lose only what the tests do
+    for r in knn.similar_vectors(df, "id", "vec", k, dim, probes=1_000, queries=F.col("query_id") % 50 == 0).collect():
+        found[r["query_id"]].append(r["near_id"])
+    assert found.keys() == want.keys() and sum(len(set(found[i]) & set(want[i])) for i in want) > 0.99 * k * len(want)
+    assert sorted(found[700]) == want[700]
     few = knn.similar_vectors(df.where("id < 3"), "id", "vec", k, dim, queries=F.col("query_id") == 0).collect()
     assert sorted(r["near_id"] for r in few) == [1, 2]
     assert knn.similar_vectors(df.limit(0), "id", "vec", k, dim, queries=F.col("query_id") == 0).count() == 0
