@@ -3,20 +3,25 @@
 Labels are O and, for email, phone, id_number, address and name, the first and
 the following tokens of an item.  A token's potential comes from its word,
 shape, prefixes and suffixes, those of its neighbours, whether it is or is
-built like a known name, and whether it lies in a span that has the form of an
-email, phone number, identity number, address or name (forms propose, the model
-decides).  Tokens of a sentence are linked in a chain.  Repeated tokens of a
-document that could be names are linked as well, over any distance (the skip
-chain), by a potential that rewards like labels; several rounds of loopy
-message passing carry what one place says to the others.  An exact check of the
-form follows: an item is set to the bounds of the span that proposed it.
+built like a known name, and, where it lies in a span that has the form of an
+email, phone number, identity number, address or name, from that span: its
+shape and the words around it.  Forms propose, the field decides: no rule
+speaks at labelling time, and an item needs no form.  Tokens of a sentence are
+linked in a chain.  Repeated and similar tokens of a document that could be
+names are linked as well, over any distance (the skip chain): equal words but
+for a possessive, words a letter apart, and an initial with a given name.  The
+links of a group form a tree of small depth, and message passing goes on until
+the beliefs settle, so what one place says reaches all others.  An exact check
+of the bounds follows: an item is set to the bounds of the span it overlaps.
 
 Training.  There are no rated texts, so the field is trained on at most
 ``TRAINING_DOCS`` documents, taken by a hash of the id, that are labelled by
 strict rules (a form together with a telling context), and on a few generic
 sentences filled with known names.  What the rules can't tell stays open, and
-the likelihood sums over all labels there.  Skip potentials are estimated from
-the labels of repeated tokens.  All texts are then labelled whole.
+the likelihood sums over all labels there.  In some of the sentences the field
+doesn't see the forms, so words, shapes and neighbours are learnt as well.  Skip
+potentials are estimated from the labels of linked tokens.  All texts are then
+labelled whole.
 
 Defined results: null and blank texts have no items and stay as they are; an
 item's value is as it stands in the text; null ids are kept; empty tables give
@@ -37,16 +42,21 @@ from pyspark.sql import functions as F
 from ..share import share
 from .common import table, whole_list
 
-TRAINING_DOCS = 1_200
-#: Share of training sentences in which the field doesn't see what the rules say.
-RULES_HIDDEN = 0.3
+TRAINING_DOCS = 2_000
+#: Share of training sentences in which the field doesn't see the forms.
+FORMS_HIDDEN = 0.15
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
-SKIP_ROUNDS = 3
+#: Kind of each label, 0 for O: what is said of a span holds for its first token and those that follow.
+KIND_OF = (np.arange(N) + 1) // 2
+#: Rounds of messages over skip links at most; they end when no message moves by more than ``SETTLED``.
+MOST_ROUNDS, SETTLED = 20, 0.02
+#: Features of the spans over a token at most: three kinds may overlap.
+SPAN_WIDTH = 54
 REACH = (-3, -2, -1, 0, 1, 2)
 
-# Words that tell what follows or precedes.
+# Words of the labelling rules that tell what follows or precedes.
 TITLES = set("dr mr mrs ms miss prof professor doctor nurse sir frau herr herrn sra sr srta dra don doña señor señora".split())
 KIN = set(
     "mother father son daughter brother sister husband wife partner caregiver carer neighbour neighbor aunt uncle cousin friend "
@@ -64,7 +74,8 @@ PERSON_ID = re.compile(
     r"[\s.:#]*(?:holder\s+)?(?:(?:no|number|num|nr|id)\b)?[\s.:#]*$",
     re.I,
 )
-THING_ID = re.compile(r"(?:order|specimen|sample|lot|batch|device|s/n|serial|ext|extension|room|bed|invoice|doses? of|ranges? were|accession)[\s.:#]*(?:no|number)?[\s.:#]*$", re.I)
+THING_ID = re.compile(r"(?:order|specimen|sample|lot|batch|device|serial|ext|extension)[\s.:#]*(?:no|number)?[\s.:#]*$", re.I)
+PHONE_CUE = re.compile(r"(?:\btel\w*|phone\w*|call\w*|fax|mobile|cell|contact\w*|ring|rang|reach\w*|teléfono|móvil|mobil|anruf\w*)\W+(?:\w+\W+){0,3}$", re.I)
 
 STREET = (
     "street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|close|way|terrace|place|pl|square|sq|crescent|parkway|pkwy|highway|circle|row|walk"
@@ -97,8 +108,7 @@ FORMS = {
         re.I,
     ),
 }
-RULES_AT = 2 * len(KINDS) + 5
-N_FLAGS = RULES_AT + N + 1
+N_FLAGS = 2 * len(KINDS) + 8
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 _ABBREVIATED = set("ave blvd apt hosp med rec soc sec ste str".split())
 
@@ -108,7 +118,8 @@ SENTENCES = (
     "Send the letter to {e} please.", "She lives at {a} with her son.", "Contact: {n}, {a}, tel {p}", "Signed: {n}", "Mr {f} called from {p}.",
     "Passport no. {i} was shown.", "The {f} score was 8.", "A {f} catheter was placed.", "The {f} sign was negative.", "Frau {f} wohnt {a}.",
     "La Sra. {f} vive en {a}.", "Name: {n}   policy holder id: {i}", "{n} was told about the plan.", "Next of kin is {n} (<{e}>).",
-    "The office is at {a}.", "Mail it to {a}.", "Order 482910 was cancelled.", "Lot 3481-220-51 was used.", "Doses of 120-340-1020 mg were given.", "Room 214 was free at 10:32.",
+    "The office is at {a}.", "Mail it to {a}.", "Order {i} was cancelled.", "Lot {i} was used.", "Specimen {i} was sent.", "Device no. {i} was read.",
+    "Social security no. {i} is on file.", "social {i}", "Chart {i}", "Medical record no. {i}", "NHS number {i}", "Licence no. {i}", "Insurance {i}", "DNI {i}", "Versichertennummer {i}",
 )
 
 
@@ -220,8 +231,16 @@ class Doc:
             i += 1
 
     def pieces(self) -> list[tuple[int, int]]:
-        """Sentences, as token ranges; the chain is cut between them."""
+        """Sentences, as token ranges; the chain is cut between them.
+
+        Longer ones end at a line break or between two lower-case words that no
+        form covers, never inside an item.
+        """
         w, n = self.words, len(self.words)
+        inner = np.zeros(n, bool)
+        for spans in self.spans.values():
+            for i, j in spans:
+                inner[i + 1 : j] = True
         out, a = [], 0
         for i in range(1, n):
             size = i - a
@@ -229,7 +248,7 @@ class Doc:
                 continue
             p = w[i - 1]
             stop = p == "." and w[i - 2].islower() and len(w[i - 2]) > 2 and w[i - 2] not in _ABBREVIATED and not w[i].islower()
-            if stop or (size >= 120 and "\n" in self.text[self.end[i - 1] : self.start[i]]) or size >= 400:
+            if stop or (size >= 120 and (p.islower() and w[i].islower() and not inner[i] or "\n" in self.text[self.end[i - 1] : self.start[i]])):
                 out.append((a, i))
                 a = i
         if a < n:
@@ -237,28 +256,57 @@ class Doc:
         return out
 
     def flags(self, common: set[str]) -> np.ndarray:
-        """Columns: first and later tokens of each form; given, family; capital, all capitals; one; then what the strict rules say: a label, none, open."""
-        f = np.zeros((len(self.words), N_FLAGS), np.float32)
+        """Columns: first and later tokens of each form; given, family; capital, all capitals; a common word; first of a line, after a full stop; one."""
+        n = len(self.words)
+        f = np.zeros((n, N_FLAGS), np.float32)
         for k, kind in enumerate(KINDS):
             for i, j in self.spans[kind]:
                 f[i, 2 * k] = 1
                 f[i + 1 : j, 2 * k + 1] = 1
         base = 2 * len(KINDS)
-        kinds = np.array(self.name_kind)
-        if len(kinds):
+        if n:
+            kinds = np.array(self.name_kind)
             f[:, base] = kinds & 1
             f[:, base + 1] = kinds >> 1
             f[:, base + 2] = [x[0].isupper() for x in self.words]
             f[:, base + 3] = [x.isupper() and len(x) > 1 for x in self.words]
-            f[:, base + 4] = 1
-            if any(self.spans.values()):
-                allowed = self.by_rules(common)
-                sure = allowed.sum(1) == 1
-                said = np.where(sure, allowed.argmax(1), N)
-                in_form = f[:, :base].any(1)
-                f[np.arange(len(said)), RULES_AT + said] = in_form | (said != 0)
+            f[:, base + 4] = [x.lower() in common for x in self.words]
+            breaks = [m.start() for m in re.finditer("\n", self.text)]
+            f[0, base + 5] = 1
+            if breaks:
+                at = np.searchsorted(self.start, breaks)
+                f[at[at < n], base + 5] = 1
+            f[1:, base + 6] = [x in ".!?:" for x in self.words[:-1]]
+            f[:, base + 7] = 1
         return f
 
+    def span_features(self, common: set[str]) -> list[tuple[int, int, list[str]]]:
+        """Of each span that has a form: what it is built of, and the words around it."""
+        low = [x.lower() if x[0].isalpha() else ("#" if x[0].isdigit() else x) for x in self.words]
+        n, out = len(low), []
+        for kind, spans in self.spans.items():
+            for i, j in spans:
+                before, after = low[max(0, i - 5) : i][::-1], low[j : j + 2]
+                f = [f"{kind}<<{x}" for x in set(before)] + [f"{kind}>>{x}" for x in set(after)]
+                f += [f"{kind}<{k}{x}" for k, x in enumerate(before[:2])] + [f"{kind}>{after[0] if after else 'end'}"]
+                inside = self.words[i:j]
+                if kind in ("phone", "id_number"):
+                    value = self.text[self.start[i] : self.end[j - 1]]
+                    f.append(f"{kind}:" + re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", re.sub(r"\s", " ", value)))[:24])
+                    f.append(f"{kind}#{min(14, sum(c.isdigit() for c in value))}")
+                elif kind == "name":
+                    shape = [("GFB"[self.name_kind[x] - 1] if self.name_kind[x] else "i" if len(w) == 1 and w.isalpha() else "c" if w[0].isalpha() else w) + ("u" if w.isupper() else "l" if w.islower() else "") for x, w in zip(range(i, j), inside)]
+                    whole = sum(len(w) > 1 for x, w in enumerate(inside) if not x or inside[x - 1] != "-") > 1 or inside[0] != inside[0].lower() and len(inside[0]) == 1
+                    f += ["name:" + "".join(shape), f"name:whole{whole}", f"name:whole{whole}>{after[0] if after else 'end'}"]
+                elif kind == "address":
+                    words = [x for x in low[i + 1 : j] if x.isalpha() and len(x) > 1]
+                    f += [f"address:last{words[-1] if words else ''}", f"address:common{any(x in common for x in words[:-1])}", f"address:unit{any(x in UNITS for x in words)}"]
+                    f += [f"address:{x}" for x in set(words[:-1])]
+                else:
+                    f.append(f"email:{'@' in inside}")
+                out.append((i, j, f))
+        return out
+
     def by_rules(self, common: set[str]) -> np.ndarray:
         """Allowed labels per token: a mask; all allowed where the rules can't tell."""
         n = len(self.words)
@@ -290,10 +338,16 @@ class Doc:
         for i, j in self.spans["phone"]:
             if j < n and low[j] in UNITS:
                 put(None, i, j)
-            elif not THING_ID.search(self.text[max(0, self.start[i] - 20) : self.start[i]]):
+            elif THING_ID.search(self.text[max(0, self.start[i] - 20) : self.start[i]]):
+                put(None, i, j)
+            elif self.words[i] in "(+" or PHONE_CUE.search(self.text[max(0, self.start[i] - 40) : self.start[i]]):
                 put("phone", i, j)
+            elif not taken[i:j].any():
+                open_[i:j] = True
         for i, j in self.spans["id_number"]:
-            if not taken[i:j].any():
+            if not any(len(x) > 2 and x.isalpha() for x in low[max(0, i - 5) : i]):
+                put(None, i, j)  # nothing says whose it is
+            elif not taken[i:j].any():
                 open_[i:j] = True
         for i, j in self.spans["name"]:
             after = low[j] if j < n else ""
@@ -406,8 +460,9 @@ for _j in range(2, N, 2):  # a following token only after one of its own kind
 class Field:
     """The trained field."""
 
-    def __init__(self, names: Names, vocabulary: dict[str, int], index: dict[str, int]) -> None:
-        self.names, self.vocabulary, self.index = names, vocabulary, index
+    def __init__(self, names: Names, vocabulary: dict[str, int], index: dict[str, int], span_index: dict[str, int]) -> None:
+        self.names, self.vocabulary, self.index, self.span_index = names, vocabulary, index, span_index
+        self.span_weights = np.zeros((len(span_index), 1 + len(KINDS)), np.float32)
         self.weights = np.zeros((len(index), N), np.float32)
         self.flag_weights = np.zeros((N_FLAGS, N), np.float32)
         self.trans = np.zeros((N, N))
@@ -434,6 +489,10 @@ class Field:
             self._grow(fresh)
         at = np.array(rows, np.int64)
         u = doc.flags(common) @ self.flag_weights
+        for i, j, f in doc.span_features(common):
+            ids = [x for k in f if (x := self.span_index.get(k)) is not None]
+            if ids:
+                u[i:j] += self.span_weights[ids].sum(0)[KIND_OF]
         for k, r in enumerate(REACH):
             if r == 0:
                 u += self.scores[at, k]
@@ -456,13 +515,51 @@ class Field:
         if len(self.rows) > most:
             self.rows, self.scores, self.name_cache = {}, np.zeros((0, len(REACH), N), np.float32), {}
 
-    def skip_edges(self, doc: Doc, common: set[str]) -> list[tuple[int, int]]:
-        """Links between one occurrence and the next of a word that could be a name."""
+    @staticmethod
+    def skip_edges(doc: Doc, common: set[str]) -> list[tuple[int, int]]:
+        """Links between equal and similar words that could be names, a tree per group; and of an initial with a given name."""
         seen: dict[str, list[int]] = defaultdict(list)
+        initials: list[int] = []
         for i, w in enumerate(doc.words):
-            if len(w) >= 4 and w[0].isalpha() and (doc.name_kind[i] or w[0].isupper()):
-                seen[w.lower()].append(i)
-        return [e for k, at in seen.items() if len(at) > 1 and k not in common for e in zip(at, at[1:])]
+            if not w[0].isalpha():
+                continue
+            if len(w) == 1:
+                if doc._initial(i):
+                    initials.append(i)
+            elif doc.name_kind[i] or (len(w) >= 4 and w[0].isupper()):
+                form = re.sub(r"['’]s$", "", w.lower())
+                if form not in common:
+                    seen[form].append(i)
+        group = {form: form for form in seen}
+
+        def root(x: str) -> str:
+            while group[x] != x:
+                group[x] = group[group[x]]
+                x = group[x]
+            return x
+
+        # Words of one letter more, less or other share what is left when a letter is taken out.
+        rest: dict[str, str] = {}
+        for form in seen:
+            if len(form) >= 6:
+                for key in {form, *(form[:k] + form[k + 1 :] for k in range(1, len(form)))}:
+                    other = rest.setdefault(key, form)
+                    if other != form and abs(len(other) - len(form)) <= 1:
+                        group[root(form)] = root(other)
+        members: dict[str, list[int]] = defaultdict(list)
+        for form, at in seen.items():
+            members[root(form)] += at
+        edges = []
+        for at in members.values():
+            at.sort()
+            edges += [(at[(m - 1) // 2], at[m]) for m in range(1, len(at))]
+        if initials:
+            given = {}
+            for form, at in seen.items():
+                if doc.name_kind[at[0]] & 1:
+                    given.setdefault(form[0], at[0])
+            edges += [(given[x], i) for i in initials if (x := doc.words[i].lower()) in given]
+        return edges
 
     def label(self, docs: list[Doc], common: set[str]) -> list[np.ndarray]:
         """Labels of each document's tokens, by loopy message passing over chains and skip links."""
@@ -482,7 +579,7 @@ class Field:
             a, b = edges[:, 0], edges[:, 1]
             to_a, to_b = np.zeros((len(edges), N)), np.zeros((len(edges), N))
             e = np.exp(self.skip)
-            for _ in range(SKIP_ROUNDS):
+            for _ in range(MOST_ROUNDS):
                 belief = np.zeros_like(u)
                 for index, size in groups:
                     marginal, *_ = chain((u + extra)[index], size, trans)
@@ -491,10 +588,13 @@ class Field:
                 new_a = np.log(np.exp(belief[b] - to_b - (belief[b] - to_b).max(1, keepdims=True)) @ e.T + 1e-300)
                 new_a -= new_a.max(1, keepdims=True)
                 new_b -= new_b.max(1, keepdims=True)
-                to_a, to_b = 0.5 * (to_a + new_a), 0.5 * (to_b + new_b)  # damped, as cycles may swing
+                moved = max(np.abs(new_a - to_a).max(), np.abs(new_b - to_b).max())
+                to_a, to_b = to_a + 0.7 * (new_a - to_a), to_b + 0.7 * (new_b - to_b)  # damped, as cycles may swing
                 extra[:] = 0
                 np.add.at(extra, a, to_a)
                 np.add.at(extra, b, to_b)
+                if moved < SETTLED:
+                    break
         out = np.zeros(len(u), np.int64)
         u = u + extra
         for index, size in _padded(pieces):
@@ -505,7 +605,7 @@ class Field:
 
 
 def items(doc: Doc, label: np.ndarray) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in characters, set to the bounds of the form that holds most of the labelled tokens."""
+    """(kind, start, end) in characters, set to the bounds of the form that holds most of the labelled tokens; without a form, as labelled."""
     out, n, i = [], len(label), 0
     covered = 0
     while i < n:
@@ -522,11 +622,8 @@ def items(doc: Doc, label: np.ndarray) -> list[tuple[str, int, int]]:
         over = [(min(j, q) - max(i, p), p, q) for p, q in doc.spans[kind] if p < j and q > i]
         if over:
             _, a, b = max(over)
-        elif kind != "name":
-            i = j
-            continue  # the exact check: no form, no item
         start, end = int(doc.start[a]), int(doc.end[b - 1])
-        if kind == "name":
+        if kind == "name" or not over:
             while end > start and doc.text[end - 1] in ",;:-" or (doc.text[start:end].endswith(".") and b - a == 1):
                 end -= 1
         if kind == "address":
@@ -546,18 +643,18 @@ def _start_sentences(names: Names, rng: np.random.Generator) -> list[str]:
     pick = lambda x: str(x[rng.integers(len(x))])
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     out = []
-    for s in SENTENCES * 6:
+    for s in SENTENCES * 10:
         g, f = pick(given).title(), pick(family).title()
         n = [f"{g} {f}", f"{f.upper()}, {g}", f"{g[0]}. {f}", f"{f}, {g}", f"{g} {pick(given)[0].upper()}. {f}", f"{g} {f}".lower()][rng.integers(6)]
         p = [f"({digits(3)}) 555-{digits(4)}", f"+1 {digits(3)} 555 {digits(4)}", f"{digits(3)}-555-{digits(4)}", f"0{digits(4)} {digits(6)}"][rng.integers(4)]
-        i = [f"{digits(8)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"X{digits(7)}", f"ABC-{digits(4)}-{digits(3)}"][rng.integers(4)]
+        i = [f"{digits(8)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"X{digits(7)}", f"ABC-{digits(4)}-{digits(3)}", f"{digits(3)} {digits(2)} {digits(4)}"][rng.integers(5)]
         a = [f"{digits(3)} {pick(family).title()} Street", f"{digits(4)} {pick(family).title()} Ave, Apt {digits(2)}B", f"PO Box {digits(4)}",
              f"{pick(family).title()}straße {digits(2)}", f"{pick(family).title()}weg {digits(3)}", f"Calle {pick(family).title()} {digits(2)}"][rng.integers(6)]
         out.append(s.format(n=n, f=f, p=p, i=i, a=a, e=f"{g}.{f}@example.org".lower()))
     return out
 
 
-def train(texts: list[str], names: Names, common: set[str], steps: int = 90, seed: int = 3) -> Field:
+def train(texts: list[str], names: Names, common: set[str], steps: int = 180, seed: int = 3) -> Field:
     rng = np.random.default_rng(seed)
     cache: dict = {}
     docs = [Doc(t, names, cache) for t in [*texts, *_start_sentences(names, rng)] if t and t.strip()]
@@ -566,7 +663,7 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
     tokens_seen: Counter = Counter()
     for d in docs:
         m = d.by_rules(common)
-        d.allowed = m
+        d.allowed, d.form_features = m, d.span_features(common)
         tokens_seen.update({w.lower() for w in d.words})
         for a, b in d.pieces():
             plain = not any(i < b and j > a for k in KINDS for i, j in d.spans[k])
@@ -587,7 +684,9 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
         for x, n in counts.items():
             if n >= 2:
                 index[f"{r}:{x}"] = len(index)
-    field = Field(names, vocabulary, index)
+    span_counts = Counter(x for d, a, b in kept for i, j, f in d.form_features if a <= i < b for x in f)
+    span_index = {x: k for k, x in enumerate(sorted(x for x, n in span_counts.items() if n >= 2))}
+    field = Field(names, vocabulary, index, span_index)
     field.name_cache = cache
     if not kept:
         return field
@@ -600,7 +699,8 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
             m[k, : len(f)] = f[: width + 3]
         ids_of[w] = m
     # Feature numbers and flags of all kept tokens, in one array.
-    feats, flags, masks, pieces, at = [], [], [], [], 0
+    feats, flags, masks, pieces, spans, at = [], [], [], [], [], 0
+    no_span = len(span_index)
     for d, a, b in kept:
         n = b - a
         f = np.full((n, len(REACH), width + 3), blank, np.int64)
@@ -619,28 +719,43 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
         if not hasattr(d, "flag"):
             d.flag = d.flags(common)
         flags.append(d.flag[a:b].copy())
-        if rng.random() < RULES_HIDDEN:  # so that words, shapes and neighbours are learnt as well
-            flags[-1][:, RULES_AT:] = 0
+        over: list[list[int]] = [[] for _ in range(n)]
+        if rng.random() < FORMS_HIDDEN:  # so that words, shapes and neighbours are learnt as well
+            flags[-1][:, : 2 * len(KINDS)] = 0
+        else:
+            for i, j, names_of in d.form_features:
+                ids = [span_index[x] for x in names_of if x in span_index]
+                for x in range(max(i, a), min(j, b)):
+                    over[x - a] += ids
+        held = np.full((n, SPAN_WIDTH), no_span, np.int64)
+        for x, ids in enumerate(over):
+            held[x, : len(ids)] = ids[:SPAN_WIDTH]
+        spans.append(held)
         masks.append(d.allowed[a:b])
         pieces.append((at, at + n))
         at += n
-    feats, flags, masks = np.concatenate(feats), np.concatenate(flags), np.concatenate(masks)
+    feats, flags, masks, spans = np.concatenate(feats), np.concatenate(flags), np.concatenate(masks), np.concatenate(spans)
+    in_form = spans[:, 0] < no_span
     w1 = np.zeros((blank + 1, N))
     w2 = np.zeros((flags.shape[1], N))
     w3 = np.zeros((N, N))
-    params = [w1, w2, w3]
+    w4 = np.zeros((no_span + 1, 1 + len(KINDS)))
+    params = [w1, w2, w3, w4]
     ms, vs = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     order = rng.permutation(len(pieces))
     parts = max(1, min(12, at // 4_000))
     for step in range(1, steps + 1):
         mine = [pieces[i] for i in order[(step - 1) % parts :: parts]]
-        g1, g2, g3 = np.zeros_like(w1), np.zeros_like(w2), np.zeros_like(w3)
+        g1, g2, g3, g4 = (np.zeros_like(p) for p in params)
         total = sum(b - a for a, b in mine)
         for idx, size in _padded(mine):
             live = np.arange(idx.shape[1])[None] < size[:, None]
             rows = idx[live]
             u = np.zeros((*idx.shape, N))
-            u[live] = w1[feats[rows]].sum(1) + flags[rows] @ w2
+            formed = in_form[rows]
+            score = w1[feats[rows]].sum(1) + flags[rows] @ w2
+            score[formed] += w4[spans[rows[formed]]].sum(1)[:, KIND_OF]
+            u[live] = score
             trans = w3 + FORBIDDEN
             free, z, f, b = chain(u, size, trans)
             held_u = np.where(masks[idx], u, u - 60.0)
@@ -648,23 +763,27 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 90, see
             diff = np.where(live[..., None], np.exp(free) - np.exp(tied), 0)
             np.add.at(g1, feats[rows].ravel(), np.repeat(diff[live], feats.shape[1], axis=0))
             g2 += flags[rows].T @ diff[live]
+            by_kind = diff[live][formed] @ (KIND_OF[:, None] == np.arange(1 + len(KINDS)))
+            np.add.at(g4, spans[rows[formed]].ravel(), np.repeat(by_kind, SPAN_WIDTH, axis=0))
             for uu, ff, bb, zz, sign in ((u, f, b, z, 1), (held_u, ft, bt, zt, -1)):
                 if idx.shape[1] > 1:
                     x = ff[:, :-1, :, None] + trans + (uu + bb)[:, 1:, None, :] - zz[:, None, None, None]
                     g3 += sign * np.einsum("stab,st->ab", np.exp(x), live[:, 1:].astype(float))
-        for k, (p, g, decay) in enumerate(zip(params, (g1, g2, g3), (1e-5, 1e-6, 1e-5), strict=True)):
+        for k, (p, g, decay) in enumerate(zip(params, (g1, g2, g3, g4), (1e-5, 1e-6, 1e-5, 1e-5), strict=True)):
             g = g / max(1, total) + decay * p
             ms[k] = 0.9 * ms[k] + 0.1 * g
             vs[k] = 0.99 * vs[k] + 0.01 * g * g
             p -= 0.15 * (ms[k] / (1 - 0.9**step)) / (np.sqrt(vs[k] / (1 - 0.99**step)) + 1e-8)
         w1[blank] = 0
+        w4[no_span] = 0
     field.weights, field.flag_weights, field.trans = w1[:blank].astype(np.float32), w2.astype(np.float32), w3
+    field.span_weights = w4[:no_span].astype(np.float32)
     field.skip = _skip_potential(docs, field, common)
     return field
 
 
 def _skip_potential(docs: list[Doc], field: Field, common: set[str]) -> np.ndarray:
-    """Half the log of how much more often than chance the ends of a link have two labels, labels taken as O, name and other."""
+    """The log of how much more often than chance the ends of a link have two labels, labels taken as O, name and other."""
     group = np.array([0 if y == 0 else 1 if LABELS[y].endswith("name") else 2 for y in range(N)])
     c = np.full((3, 3), 0.5)
     for d in docs:
@@ -675,8 +794,8 @@ def _skip_potential(docs: list[Doc], field: Field, common: set[str]) -> np.ndarr
                 c[y[a], y[b]] += 0.5
                 c[y[b], y[a]] += 0.5
     p = c / c.sum()
-    lift = 0.5 * np.log(p / np.outer(p.sum(1), p.sum(0)))
-    return np.clip(lift, -1.5, 1.5)[np.ix_(group, group)]
+    lift = np.log(p / np.outer(p.sum(1), p.sum(0)))
+    return np.clip(lift, -3, 3)[np.ix_(group, group)]
 
 
 def known_names(names: DataFrame) -> Names:

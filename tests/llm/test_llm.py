@@ -517,6 +517,80 @@ def test_personal_items_are_found_and_replaced(spark, names):
     assert pii.find_personal(docs.limit(0), names.limit(0), common).count() == 0
 
 
+@pytest.fixture(scope="module")
+def field():
+    rnd = random.Random(3)
+    given = "Marenna Marolo Marisso Torenna Torolo Torisso Jesenna Jesolo".split()
+    family = "Hasketti Haskwell Haskdorn Brametti Bramwell Bramdorn Yarretti Yarrwell Yarrmond Pelldorn".split()
+
+    def note():
+        g, f, h = rnd.choice(given), *rnd.sample(family, 2)
+        return rnd.choice(
+            [
+                f"Dr. {f} came in the morning. The plan of Dr. {f} is kept.", f"{g} {f} was seen. Later {g} {f} went home.",
+                f"The {h} score was {rnd.randrange(20)}. The {h} sign was negative. Mrs. {f} was told.", f"{h} score {rnd.randrange(20)} today, {h} sign again negative.",
+                f"It was {h} then. {h} score 8.", "It was late. The walk was long. Then it ended.",
+            ]
+        )
+
+    common = set("the a was at with her to it is and".split())
+    names = pii.Names({w.lower() for w in given}, {w.lower() for w in family})
+    return pii.train([note() for _ in range(160)], names, common, steps=120), common
+
+
+def _spans(field, text):
+    f, common = field
+    d = pii.Doc(text, f.names, {})
+    return [(k, text[i:j], i) for k, i, j in pii.items(d, f.label([d], common)[0])], d.by_rules(common)
+
+
+def test_skip_links_find_what_a_sentence_alone_does_not_tell(field):
+    family = "Hasketti Haskwell Haskdorn Brametti Bramwell Bramdorn Yarretti Yarrwell Yarrmond Pelldorn".split()
+    texts = [f"Seen by Dr. {n}. {n.lower()} today again negative." for n in family]
+    linked = [_spans(field, t)[0] for t in texts]
+    f, kept = field[0], field[0].skip
+    try:
+        f.skip = np.zeros_like(kept)
+        alone = [_spans(field, t)[0] for t in texts]
+    finally:
+        f.skip = kept
+    assert all(set(a) <= set(s) for a, s in zip(alone, linked))
+    lost = [(t, x) for t, a, s in zip(texts, alone, linked) for x in set(s) - set(a)]
+    assert len(lost) >= 5  # mentions that only the links make names
+    for t, (kind, _, at) in lost:  # and that the rules leave open
+        d = pii.Doc(t, f.names, {})
+        assert kind == "name" and d.by_rules(field[1])[int(np.searchsorted(d.start, at))].all()
+
+
+def test_skip_links_join_similar_words_and_initials(field):
+    f, common = field
+    d = pii.Doc("Marenna Pelldorn came. Pelldorm's son and M. Pelldorn left; then Peldorn. The Tree and the Tree.", f.names, {})
+    at = {(d.words[a], d.words[b]) for a, b in f.skip_edges(d, common)}
+    words = [w for w in d.words if w.startswith("Pel")]
+    linked = {w for e in at for w in e}
+    assert set(words) <= linked and ("Marenna", "M") in at
+    many = pii.Doc("Pelldorn. " * 500, f.names, {})
+    depth = {0: 0}
+    for a, b in f.skip_edges(many, common):
+        depth[b // 2] = depth[a // 2] + 1
+    assert len(depth) == 500 and max(depth.values()) <= 9  # a telling place reaches all in few rounds
+
+
+def test_an_item_needs_no_form(field):
+    d = pii.Doc("Zabruck", field[0].names, {})
+    assert pii.items(d, np.array([9])) == [("name", 0, 7)]
+    e = pii.Doc("mail to a b at c, today", field[0].names, {})
+    assert pii.items(e, np.array([0, 0, 1, 2, 2, 2, 2, 0])) == [("email", 8, 16)]
+
+
+def test_no_cut_inside_an_item_however_long_the_sentence(field):
+    text = "and so it went on " * 200 + "till Marenna Pelldorn came " + "and then it was over " * 100
+    d = pii.Doc(text, field[0].names, {})
+    at = d.spans["name"][0]
+    assert all(not (a < at[1] and b > at[0]) or (a <= at[0] and at[1] <= b) for a, b in d.pieces())
+    assert max(b - a for a, b in d.pieces()) < 200
+
+
 def test_chain_messages_agree_with_enumeration():
     rng = np.random.default_rng(12)
     u, t = rng.standard_normal((1, 3, pii.N)), rng.standard_normal((pii.N, pii.N))
