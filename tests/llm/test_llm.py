@@ -383,20 +383,61 @@ def test_packing_places_every_token_once(spark):
         assert p.n_tokens.sum() == sum(n or 0 for _, _, n in data)
         used = p.groupby(["shard_no", "container_no"]).n_tokens.sum()
         assert used.max() <= cap and used.mean() / cap > 0.97
-        cut = p.groupby("doc_id").size()
-        assert all(cut[i] == math.ceil(n / cap) for i, _, n in data if n)
+        for i, _, n in data:
+            mine = sorted(zip(p[p.doc_id == i].token_from, p[p.doc_id == i].n_tokens))
+            ends = [0] + [a + b for a, b in mine]
+            assert [a for a, _ in mine] == ends[:-1] and ends[-1] == (n or 0)
+            assert len(mine) <= 1 or n > cap
+        assert not p.duplicated(["shard_no", "container_no", "slot_no"]).any()
     assert packing.pack(docs.limit(0), packs).count() == 0
 
 
-def test_windows_keep_the_mixture():
+def _distance(item, size, window, source, share):
+    per = np.zeros((window.max() + 1, len(share)))
+    np.add.at(per, (window, source[item]), size)
+    return 0.5 * np.abs(per / per.sum(1, keepdims=True) - share).sum(1), per.sum(1)
+
+
+def test_windows_keep_the_mixture_from_first_to_last():
     rng = np.random.default_rng(10)
-    sizes, source = rng.integers(5, 60, 3_000), rng.choice(3, 3_000, p=[0.7, 0.2, 0.1])
+    sizes, source = np.exp(rng.normal(5.3, 1.0, 6_000)).astype(np.int64) + 5, rng.choice(4, 6_000, p=[0.5, 0.3, 0.15, 0.05])
     share = np.bincount(source, weights=sizes) / sizes.sum()
-    container, _ = packing.pack_windows(sizes, source, share, np.zeros(3), 1_024)
-    per = np.zeros((container.max() + 1, 3))
-    np.add.at(per, (container, source), sizes)
-    early = per[: len(per) // 2] / per[: len(per) // 2].sum(1, keepdims=True)
-    assert np.abs(early - share).max() < 0.08
+    for capacity in (2_048, 8_192):
+        item, at, size, window, _ = packing.pack_windows(sizes, source, None, np.zeros(4), capacity)
+        far, used = _distance(item, size, window, source, share)
+        order, w, room, plain = rng.permutation(len(sizes)), 0, capacity, np.zeros(len(sizes), np.int64)
+        for i in order:  # as they come
+            z = min(sizes[i], capacity)
+            w, room = (w + 1, capacity) if z > room else (w, room)
+            plain[i], room = w, room - z
+        random_far, _ = _distance(np.arange(len(sizes)), np.minimum(sizes, capacity), plain, source, share)
+        fifth = len(far) // 5
+        assert used.max() <= capacity and used.mean() > 0.99 * capacity
+        for part in (far, far[:fifth], far[-fifth:]):
+            assert part.mean() < 0.6 * random_far.mean()
+
+
+def test_windows_follow_given_targets_while_sources_last():
+    rng = np.random.default_rng(11)
+    sizes, source = rng.integers(5, 60, 6_000), np.repeat([0, 1], 3_000)
+    item, at, size, window, _ = packing.pack_windows(sizes, source, np.array([0.75, 0.25]), np.zeros(2), 1_024)
+    per = np.zeros((window.max() + 1, 2))
+    np.add.at(per, (window, source[item]), size)
+    first = np.sort((per / per.sum(1, keepdims=True))[:, 0])[::-1][: int(0.6 * len(per))]
+    assert abs(first.mean() - 0.75) < 0.03  # the others hold what is left of the second source
+
+
+def test_sizes_of_one_session_do_not_mix(spark, tmp_path):
+    packs = spark.createDataFrame([("p", 64)], "pack_name string, capacity_tokens int")
+    want = {}
+    for k, n in (("a", 30), ("b", 7)):
+        docs = spark.createDataFrame([(i, "x y z " * (i + 1), "s") for i in range(n)], "doc_id long, text string, source string")
+        docs.write.parquet(str(tmp_path / k / "documents.parquet"))
+        packs.write.parquet(str(tmp_path / k / "pack_sizes.parquet"))
+    for k in "abab":
+        got = packing.p7_fill(spark, str(tmp_path / k)).first()["tokens"]
+        assert got == want.setdefault(k, got)
+    assert want["a"] > want["b"]
 
 
 def test_poisson_with_a_cap_keeps_its_mean():
