@@ -46,7 +46,8 @@ def unchanged(line: Column) -> Column:
 
 
 PROCESSORS: dict[str, Callable[[Column], Column]] = {"moderate": moderate, "aggressive": aggressive, "none": unchanged}
-_MARKING = {"moderate"}
+#: Processors that put marked tokens into a text.
+MARKING = {"moderate"}
 
 
 def processor(name: str) -> Callable[[Column], Column]:
@@ -58,7 +59,7 @@ def processor(name: str) -> Callable[[Column], Column]:
 
 def has_marker(text: Column, name: str = "moderate") -> Column:
     """True where a text holds a token that the processor put in; only the moderate processor does."""
-    return F.contains(text, F.lit(MARKER)) if name in _MARKING else F.lit(False)
+    return F.contains(text, F.lit(MARKER)) if name in MARKING else F.lit(False)
 
 
 def is_blank(line: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import save
+from .order import first_rows
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -26,15 +27,16 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(forest edges, (``form``, ``root``) of all ends), roots being the smallest form of a component."""
     now = save(edges.select("a", "b", "score", F.col("a").alias("ra"), F.col("b").alias("rb")), "msf-edges")
     label = save(edges.select(F.explode(F.array("a", "b")).alias("form")).distinct().withColumn("root", F.col("form")), "msf-labels")
-    chosen: list[DataFrame] = []
+    chosen: list = []
     while not now.df.isEmpty():
         sides = now.df.select(F.explode(F.array(
             F.struct(F.col("ra").alias("r"), F.col("rb").alias("to"), "score", "a", "b"),
             F.struct(F.col("rb").alias("r"), F.col("ra").alias("to"), "score", "a", "b"),
         )).alias("x")).select("x.*")
         pick = sides.groupBy("r").agg(F.min(F.struct((-F.col("score")).alias("s"), "a", "b", "to")).alias("m"))
-        pick = save(pick.select("r", F.col("m.to").alias("to"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), (-F.col("m.s")).alias("score")), "msf-picks").df
-        chosen.append(pick.select("a", "b", "score").distinct())
+        picked = save(pick.select("r", F.col("m.to").alias("to"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), (-F.col("m.s")).alias("score")), "msf-picks")
+        pick = picked.df
+        chosen.append(picked)
         # Two clusters that picked each other: the smaller is the root.
         back = pick.select(F.col("r").alias("to"), F.col("to").alias("back"))
         up = pick.join(back, "to", "left").select("r", F.when((F.col("back") == F.col("r")) & (F.col("r") < F.col("to")), F.col("r")).otherwise(F.col("to")).alias("p"))
@@ -42,6 +44,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         while True:
             nxt = up.df.select(F.col("r").alias("p"), F.col("p").alias("pp"))
             step = save(up.df.join(nxt, "p").select("r", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "msf-up")
+            up.drop()
             up = step
             if step.df.where("moved").isEmpty():
                 break
@@ -52,30 +55,17 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         later = save(after.where("ra <> rb"), "msf-edges")
         now.drop()
         label.drop()
+        up.drop()
         now, label = later, label2
-    spark = edges.sparkSession
-    forest = spark.createDataFrame([], edges.schema) if not chosen else chosen[0]
-    for c in chosen[1:]:
-        forest = forest.unionByName(c)
+    now.drop()
+    forest = edges.select("a", "b", "score").limit(0)
+    for c in chosen:
+        forest = forest.unionByName(c.df.select("a", "b", "score"))
+    forest = save(forest.distinct(), "msf-forest").df
+    for c in chosen:
+        c.drop()
     small = label.df.groupBy("root").agg(F.min("form").alias("least"))
-    return forest.distinct(), label.df.join(small, "root").select("form", F.col("least").alias("root"))
-
-
-def first_rows(df: DataFrame, order: list, n: int) -> DataFrame:
-    """The first ``n`` rows in an order, cut at a range partition's bound and inside one partition; never gathered in one task."""
-    if n <= 0:
-        return df.limit(0)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = save(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted").df
-    sizes = x.groupBy(F.shiftright("__at", 33).alias("p")).count().orderBy("p").collect()  # a row per partition
-    left, keep = n, F.lit(False)
-    for r in sizes:
-        take = min(left, r["count"])
-        keep = keep | ((F.shiftright("__at", 33) == r["p"]) & (F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) < take))
-        left -= take
-        if not left:
-            break
-    return x.where(keep).drop("__at")
+    return forest, label.df.join(small, "root").select("form", F.col("least").alias("root"))
 
 
 def cluster_by_count(links: DataFrame, terms: DataFrame, k: int) -> DataFrame:

@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
+from ..functions.distance import abbreviation
+from ..functions.phrase import n_words
+from ..functions.phrase import normalised as normal_phrase
+from ..functions.text import has_marker, processor
+from ..functions.vector import dot, normalised
+from ..scratch import save
+from .collocations import phrase_scores
+from .order import numbered
+from .thesaurus import ortho_distance
 
-def pairs_within(items: DataFrame, group: str, item: str) -> DataFrame:
-    """(``a``, ``b``), a < b, of items that share a group, each pair once."""
-    x = items.select(F.col(group).alias("g"), F.col(item).alias("a")).distinct()
-    y = x.select("g", F.col("a").alias("b"))
-    return x.join(y, "g").where("a < b").select("a", "b").distinct()
+
+#: Items of a group that are paired in one task; the pairs of larger groups are spread over more.
+GROUP_BLOCK = 2_000
+
+
+def pairs_within(items: DataFrame, group: str, item: str, only: DataFrame | None = None) -> DataFrame:
+    """(``a``, ``b``), a < b, of items that share a group, each pair once; ``only`` (``form``): pairs of listed items.
+
+    All pairs of a group are the result, so it grows with the square of the
+    group; the work of a large group is spread by blocks of its items.
+    """
+    x = items.select(F.col(group).alias("g"), F.col(item).alias("a")).where("g is not null and a is not null").distinct()
+    if only is not None:
+        x = x.join(only.select(F.col("form").alias("a")), "a", "left_semi").select("g", "a")
+    x = save(x, "items").df
+    blocks = x.groupBy("g").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    x = x.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    left = x.select("g", "a", F.pmod(F.xxhash64("a"), "blocks").alias("block"))
+    right = x.select("g", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"))
+    return left.join(right, ["g", "block"]).where("a < b").select("a", "b").distinct()
 
 
 def without_terms(pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -19,13 +44,98 @@ def without_terms(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.join(t.withColumnRenamed("form", "a"), "a", "left_anti").join(t.withColumnRenamed("form", "b"), "b", "left_anti").select("a", "b")
 
 
-def random_pairs(items: DataFrame, item: str, seed: int = 1) -> DataFrame:
-    """Each item with that at the mirrored place of a shuffled order; the order is by a hash, so it is the same in every run."""
-    w = Window.orderBy(F.xxhash64(F.lit(seed), F.col(item)), F.col(item))
-    x = items.select(item).distinct().withColumn("rn", F.row_number().over(w))
-    n = x.agg(F.max("rn")).first()[0] or 0
-    y = x.select(F.col(item).alias("b"), (F.lit(n + 1) - F.col("rn")).alias("rn"))
-    return x.withColumnRenamed(item, "a").join(y, "rn").where(F.col("rn") <= n // 2).select("a", "b")
+def short_phrases(phrases: DataFrame, most_words: int, form: str = "form") -> DataFrame:
+    """Phrases of at most so many words; null and empty ones are left out."""
+    return phrases.where((F.col(form) != "") & (n_words(F.col(form)) <= most_words))
+
+
+def random_pairs(items: DataFrame, item: str, seed: int = 1, n: int | None = None) -> DataFrame:
+    """Each item with that at the mirrored place of a shuffled order, or the first ``n`` of these pairs.
+
+    The order is by a hash of seed and item, so it is the same in every run.
+    """
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
+    x = numbered(items.select(item).distinct(), [key, F.col(item)], "rn", start=1)
+    count = x.count()
+    y = x.select(F.col(item).alias("b"), (F.lit(count + 1) - F.col("rn")).alias("rn"))
+    most = count // 2 if n is None else min(n, count // 2)
+    return x.withColumnRenamed(item, "a").join(y, "rn").where(F.col("rn") <= most).select("a", "b")
+
+
+def zipped(first: DataFrame, second: DataFrame, place: str = "place", form: str = "form") -> DataFrame:
+    """(``a``, ``b``) of the rows of two lists at the same place."""
+    a = first.select(F.col(place).alias("i"), F.col(form).alias("a"))
+    return a.join(second.select(F.col(place).alias("i"), F.col(form).alias("b")), "i").select("a", "b")
+
+
+def scored_pairs(pairs: DataFrame, vectors: DataFrame | None = None, permutation_penalty: float | None = 1.0, ortho: bool = True, abbr: bool = False) -> DataFrame:
+    """Pairs (``a``, ``b``) as ``phrase1``, ``phrase2`` with the scores asked for.
+
+    ``semantic``: the dot product of both terms' vectors scaled to length 1,
+    null if a term has none.  ``orthographic``: the distance over the longer
+    length.  ``abbreviation``: the distance of the first, as the abbreviation,
+    to the second, over the first's length; this direction only.
+    """
+    out = pairs.select(F.col("a").alias("phrase1"), F.col("b").alias("phrase2"))
+    cols = ["phrase1", "phrase2"]
+    if vectors is not None:
+        v = vectors.select("form", normalised(F.col("vec")).alias("vec"))
+        out = out.join(v.select(F.col("form").alias("phrase1"), F.col("vec").alias("v1")), "phrase1", "left")
+        out = out.join(v.select(F.col("form").alias("phrase2"), F.col("vec").alias("v2")), "phrase2", "left")
+        out = out.withColumn("semantic", dot(F.col("v1"), F.col("v2")))
+        cols.append("semantic")
+    a, b = F.col("phrase1"), F.col("phrase2")
+    if ortho:
+        out = out.withColumn("orthographic", ortho_distance(a, b, permutation_penalty))
+        cols.append("orthographic")
+    if abbr:
+        out = out.withColumn("abbreviation", abbreviation(a, b) / F.length(a))
+        cols.append("abbreviation")
+    return out.select(*cols)
+
+
+def _usable(form, processor: str):
+    return (form != "") & ~has_marker(form, processor)
+
+
+def concept_experiment(concepts: DataFrame, abbreviations: DataFrame | None, s: Settings, by: str = "lui") -> DataFrame:
+    """Pairs (``a``, ``b``) of different forms with the same lexical id (``by`` = "concept": the same concept).
+
+    ``concepts``: ``concept``, ``lui``, ``form``; ``abbreviations``: ``abbr``.
+    Forms go through the processor; those with a marker, of more than the
+    longest phrase, or listed as abbreviations take no part.
+    """
+    clean = F.trim(processor(s.processor)(F.col("form")))
+    c = concepts.select(F.col(by).alias("g"), clean.alias("form")).where(_usable(F.col("form"), s.processor))
+    if abbreviations is not None:
+        a = abbreviations.select(F.trim(processor(s.processor)(F.col("abbr"))).alias("form")).where(_usable(F.col("form"), s.processor)).distinct()
+        c = c.join(a, "form", "left_anti")
+    c = short_phrases(c, s.max_phrase_length)
+    form = F.col("form") if s.embeddings_case_sensitive else F.lower("form")
+    return pairs_within(c.select("g", form.alias("form")), "g", "form")
+
+
+def abbreviation_experiment(abbreviations: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (``a``, ``b``) of abbreviation and long form, processed, without those with a marker or nothing left."""
+    clean = lambda c: F.trim(processor(s.processor)(F.col(c)))
+    x = abbreviations.select(clean("abbr").alias("a"), clean("long").alias("b"))
+    return x.where(_usable(F.col("a"), s.processor) & _usable(F.col("b"), s.processor))
+
+
+def random_experiment(concepts: DataFrame, s: Settings, n: int, seed: int = 1) -> DataFrame:
+    """``n`` random pairs of forms of at most 8 words."""
+    c = concepts.select(F.trim(processor(s.processor)(F.col("form"))).alias("form")).where(_usable(F.col("form"), s.processor))
+    form = F.col("form") if s.embeddings_case_sensitive else F.lower("form")
+    return random_pairs(short_phrases(c.select(form.alias("form")), 8), "form", seed, n)
+
+
+def npmi_experiment(concepts: DataFrame, counts: DataFrame, s: Settings) -> DataFrame:
+    """``phrase_scores`` of the concept forms of 2 to 7 words; phrases that aren't counted get 0."""
+    c = concepts.select(normal_phrase(processor(s.processor)(F.col("form"))).alias("form")).where(_usable(F.col("form"), s.processor)).distinct()
+    c = short_phrases(c, 7).withColumn("n", n_words(F.col("form"))).where("n > 1")
+    scored = phrase_scores(c, counts, s).select("form", "best", "skip")
+    zero = lambda x: F.coalesce(x, F.lit(0.0)).alias(x)
+    return c.join(scored, "form", "left").select("form", "n", zero("best"), zero("skip"))
 
 
 def concept_sets(concepts: DataFrame) -> DataFrame:
@@ -66,3 +176,19 @@ def added(a: DataFrame, b: DataFrame, col: str, sign: int = 1) -> DataFrame:
     """Two counters added, or subtracted with sign -1."""
     both = a.unionByName(b.withColumn("cnt", F.col("cnt") * sign))
     return both.groupBy(col).agg(F.sum("cnt").alias("cnt"))
+
+
+def by_value(df: DataFrame, value: str, key: str, reverse: bool = False) -> DataFrame:
+    """Rows with their ``place`` in the order of value, then key; descending in both if ``reverse``."""
+    d = F.desc if reverse else F.asc
+    return numbered(df, [d(value), d(key)], "place")
+
+
+def sorted_counter(counts: DataFrame, col: str) -> DataFrame:
+    """A counter in ascending order of count, then key."""
+    return by_value(counts, "cnt", col)
+
+
+def total_sizes(thesaurus: DataFrame) -> DataFrame:
+    """Headwords and entries of a thesaurus."""
+    return thesaurus.agg(F.count_distinct("p1").alias("headwords"), F.count("*").alias("entries"))

@@ -9,9 +9,10 @@ from ..functions import text as T
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the source is one small file; a larger source keeps its splits and isn't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows over all cores where the source is a few files; a larger source keeps its splits and isn't shuffled."""
+    spark = df.sparkSession
+    cores = int(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def lines(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

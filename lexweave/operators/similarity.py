@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..scratch import save
+from .order import numbered
 
-#: Rows a block of the pairwise comparison holds; two blocks of 300 columns are some 40 MB.
-BLOCK_ROWS = 8_192
+#: Rows a block of the pairwise comparison holds at most and at least; two of the largest are some 80 MB at 300 columns.
+BLOCK_ROWS, LEAST_BLOCK_ROWS = 32_768, 1_024
 #: Queries whose vectors are broadcast at once; more are compared in several blocks.
 MOST_BROADCAST_QUERIES = 50_000
 
@@ -26,15 +27,17 @@ def _matrix(col) -> np.ndarray:
 def similar_pairs(vectors: DataFrame, minimum: float, key: str = "form", vec: str = "vec") -> DataFrame:
     """(``a``, ``b``, ``semantic``) of all ordered pairs of different keys whose dot product is at least ``minimum``.
 
-    An exact comparison in blocks: keys are hashed to blocks of some
-    ``BLOCK_ROWS`` rows, and each pair of blocks is one task that multiplies
-    two matrices in tiles.  Rows near the limit are settled in double.  Keys
+    An exact comparison in blocks: keys are hashed to blocks of at most some
+    ``BLOCK_ROWS`` rows, smaller ones only to give every core a pair of them,
+    and each pair of blocks is one task that multiplies two matrices in tiles.
+    A vector travels once per block.  Rows near the limit are settled in double.  Keys
     are distinct; null vectors and keys take no part; a pair is computed once
     and given in both orders.
     """
     v = vectors.select(F.col(key).alias("key"), F.col(vec).alias("vec")).where("key is not null and vec is not null")
     rows = v.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
+    tasks = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-rows // BLOCK_ROWS), min(rows // LEAST_BLOCK_ROWS, int((2 * tasks) ** 0.5)))
     own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     other = F.sequence(F.lit(0), F.lit(blocks - 1))
     tasks = v.withColumn("own", own).select("key", "vec", "own", F.explode(other).alias("x"))
@@ -140,7 +143,19 @@ def analogy_vector(vectors: DataFrame, plus: list, minus: list, key: str = "rank
 def kept_terms(vectors: DataFrame, terms: DataFrame) -> DataFrame:
     """Vectors of the listed terms, ranked anew without gaps."""
     kept = vectors.join(terms.select("form"), "form", "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy("rank")) - 1)
+    return numbered(kept.withColumnRenamed("rank", "__rank"), [F.col("__rank")], "rank").drop("__rank")
+
+
+def first_of_each_term(vectors: DataFrame) -> DataFrame:
+    """One row per term, the one of the lowest rank, as terms that come again are ignored."""
+    rest = [c for c in vectors.columns if c not in ("form", "rank")]
+    one = vectors.groupBy("form").agg(F.min("rank").alias("rank"), F.min_by(F.struct(*rest), "rank").alias("x"))
+    return one.select("rank", "form", "x.*")
+
+
+def with_frequencies(vectors: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """``vectors`` with ``freq`` of those terms that ``frequencies`` (``form``, ``freq``) names, -1 where it names none; unknown terms are ignored."""
+    return vectors.drop("freq").join(frequencies.select("form", "freq"), "form", "left").withColumn("freq", F.coalesce("freq", F.lit(-1).cast("long")))
 
 
 def all_words_known(phrases: DataFrame, vectors: DataFrame) -> DataFrame:

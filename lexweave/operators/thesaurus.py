@@ -9,7 +9,9 @@ from ..config import Settings
 from ..functions import distance as D
 from ..functions.phrase import normalised as normal_phrase
 from ..functions.scores import overall
+from ..functions.text import has_marker
 from ..functions.vector import normalised
+from ..scratch import save
 from .similarity import similar_pairs
 
 
@@ -28,10 +30,11 @@ def abbr_distance(a: Column, b: Column) -> Column:
 def build_thesaurus(vectors: DataFrame, s: Settings) -> DataFrame:
     """(``p1``, ``p2``, ``overall``, ``semantic``, ``ortho``, ``abbr``) from (``form``, ``vec``).
 
+    Terms without a letter and tokens that the processor put in take no part.
     Steps by cost: dot products first, spelling distances only on pairs that
     pass, reordered words only where they can win.
     """
-    terms = with_letters(vectors).select("form", normalised(F.col("vec")).alias("vec"))
+    terms = with_letters(vectors).where(~has_marker(F.col("form"), s.processor)).select("form", normalised(F.col("vec")).alias("vec"))
     pairs = similar_pairs(terms, s.semantic_minimum).withColumnsRenamed({"a": "p1", "b": "p2"})
     scored = pairs.withColumn("ortho", ortho_distance(F.col("p1"), F.col("p2"), s.permutation_penalty)).withColumn(
         "abbr", abbr_distance(F.col("p1"), F.col("p2"))
@@ -71,10 +74,31 @@ def with_entries(thesaurus: DataFrame, more: DataFrame) -> DataFrame:
     return thesaurus.unionByName(more)
 
 
-def nested(thesaurus: DataFrame) -> DataFrame:
-    """A row per headword with its entries, best first."""
-    e = F.struct((-F.col("overall")).alias("k"), "p2", "overall", "semantic", "ortho", "abbr")
-    return thesaurus.groupBy("p1").agg(F.sort_array(F.collect_list(e)).alias("x")).select(
-        F.col("p1").alias("head"),
-        F.transform("x", lambda s: F.struct(s["p2"].alias("form"), s["overall"].alias("overall"), s["semantic"].alias("semantic"), s["ortho"].alias("ortho"), s["abbr"].alias("abbr"))).alias("entries"),
-    )
+#: Entries of a headword that are gathered in one row; those of a larger one come in several.
+MOST_IN_A_ROW = 100_000
+
+
+def in_rows(df: DataFrame, key: str, order: list, entry, most: int = MOST_IN_A_ROW) -> DataFrame:
+    """(``key``, ``part``, ``x``): the ``entry`` structs of each key in the order, gathered.
+
+    A key of more than ``most`` rows never meets in one task: its rows are
+    range-sorted and it gets a row per task, numbered in the order by ``part``.
+    """
+    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    heavy = save(counts.where(F.col("__n") > most).select("__k"), "heavy-keys").df  # at most rows / most
+    gather = lambda d, *by: d.groupBy(key, *by).agg(F.sort_array(F.collect_list(F.struct(*order, entry.alias("__e")))).alias("x"))
+    is_heavy = F.col(key).eqNullSafe(F.col("__k"))
+    light = gather(df.join(F.broadcast(heavy), is_heavy, "left_anti")).withColumn("part", F.lit(0))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = df.join(F.broadcast(heavy), is_heavy, "left_semi").repartitionByRange(parts, key, *order)
+    hot = gather(hot.withColumn("part", F.spark_partition_id()), "part")
+    return light.unionByName(hot).select(key, "part", F.transform("x", lambda s: s["__e"]).alias("x"))
+
+
+_SCORES = ("overall", "semantic", "ortho", "abbr")
+
+
+def nested(thesaurus: DataFrame, most: int = MOST_IN_A_ROW) -> DataFrame:
+    """A row per headword with its entries, best first; several rows, numbered by ``part``, for one of more than ``most``."""
+    entry = F.struct(F.col("p2").alias("form"), *_SCORES)
+    return in_rows(thesaurus, "p1", [F.coalesce(-F.col("overall"), F.lit(float("inf"))).alias("k"), F.col("p2")], entry, most).select(F.col("p1").alias("head"), "part", F.col("x").alias("entries"))
