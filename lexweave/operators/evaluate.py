@@ -33,8 +33,8 @@ def pairs_within(items: DataFrame, group: str, item: str, only: DataFrame | None
     x = save(x, "items").df
     blocks = x.groupBy("g").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     x = x.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    left = x.select("g", "a", F.pmod(F.xxhash64("a"), "blocks").alias("block"))
-    right = x.select("g", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"))
+    left = x.select("g", "a", F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).alias("block"))
+    right = x.select("g", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"))
     return left.join(right, ["g", "block"]).where("a < b").select("a", "b").distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -17,6 +17,7 @@ from ..operators import evaluate as E
 from ..operators import ngrams as N
 from ..operators import similarity as S
 from ..operators import thesaurus as H
+from ..operators.order import numbered
 from ..scratch import save
 
 #: Settings of the registered queries; the default minimum count is meant for larger collections.
@@ -216,14 +217,15 @@ def top_collocations(spark, d):
 
 
 _GOLD = """gold AS (SELECT DISTINCT f AS form FROM (
-  SELECT unnest([regexp_replace(lower(p1), '[\\s_]+', ' ', 'g'), regexp_replace(lower(term), '[\\s_]+', ' ', 'g')]) AS f
-  FROM (SELECT p1, NULL AS term FROM thesaurus UNION ALL SELECT NULL, term FROM vectors)) WHERE f IS NOT NULL)"""
+  SELECT regexp_replace(lower(f), '[\\s_]+', ' ', 'g') AS f
+  FROM (SELECT p1 AS f FROM thesaurus UNION ALL SELECT p2 FROM thesaurus UNION ALL SELECT term FROM vectors)) WHERE f IS NOT NULL)"""
 
 
 def _gold(spark, d: str) -> DataFrame:
-    """Two-word forms of the thesaurus and the vocabulary."""
+    """Forms of the thesaurus and the vocabulary."""
     clean = lambda c: F.regexp_replace(F.lower(c), r"[\s_]+", " ").alias("form")
-    return read(spark, d, "thesaurus").select(clean("p1")).union(read(spark, d, "vectors").select(clean("term"))).where("form is not null").distinct()
+    t = read(spark, d, "thesaurus")
+    return t.select(clean("p1")).union(t.select(clean("p2"))).union(read(spark, d, "vectors").select(clean("term"))).where("form is not null").distinct()
 
 
 @query(f"WITH {FOUND}, {_GOLD} SELECT count(*) AS phrases, round(avg((form IN (SELECT form FROM gold))::INT), 8) AS precision FROM found")
@@ -297,25 +299,36 @@ def _vectors(spark, d: str) -> DataFrame:
     return read(spark, d, "embeddings").withColumnRenamed("embedding", "vec")
 
 
-@query(f"WITH {_V} SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS magnitude, round((e[1] / sqrt(list_dot_product(e, e)))::FLOAT::DOUBLE, 6) AS first FROM v")
+def _weighted(c):
+    """All components in one number: their sum, each times its place from 1."""
+    places = F.sequence(F.lit(1), F.size(c))
+    return F.round(V.dot(c, places), 5)
+
+
+def _sum(x: str, e: str = "a.e") -> str:
+    x = x.replace("x /", f"{e}[i] /")
+    return f"round(list_sum(list_transform(range(1, len({e}) + 1), lambda i: i * {x})), 5)"
+
+
+@query(f"WITH {_V} SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS magnitude, {_sum('(x / sqrt(list_dot_product(e, e)))::FLOAT::DOUBLE', 'e')} AS components FROM v")
 def vector_normalize(spark, d):
     v = _vectors(spark, d)
     return v.select(
-        "vec_id", F.round(V.magnitude(F.col("vec")), 6).alias("magnitude"), F.round(V.component(V.normalised(F.col("vec")), 0).cast("double"), 6).alias("first")
+        "vec_id", F.round(V.magnitude(F.col("vec")), 6).alias("magnitude"), _weighted(V.normalised(F.col("vec"))).alias("components")
     )
 
 
 @query(
     f"""WITH {_V} SELECT a.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot, round(list_distance(a.e, b.e), 6) AS distance,
-  round(list_cosine_similarity(a.e, b.e), 6) AS cosine, round((a.e[1] + b.e[1])::FLOAT::DOUBLE, 6) AS plus, round((a.e[1] - b.e[1])::FLOAT::DOUBLE, 6) AS minus,
-  round((a.e[1] * b.e[1])::FLOAT::DOUBLE, 6) AS hadamard, round((a.e[1] * 2.5)::FLOAT::DOUBLE, 6) AS scaled, round((a.e[1] + 0.5)::FLOAT::DOUBLE, 6) AS shifted
+  round(list_cosine_similarity(a.e, b.e), 6) AS cosine, {_sum('(a.e[i] + b.e[i])::FLOAT::DOUBLE')} AS plus, {_sum('(a.e[i] - b.e[i])::FLOAT::DOUBLE')} AS minus,
+  {_sum('(a.e[i] * b.e[i])::FLOAT::DOUBLE')} AS hadamard, {_sum('(a.e[i] * 2.5)::FLOAT::DOUBLE')} AS scaled, {_sum('(a.e[i] + 0.5)::FLOAT::DOUBLE')} AS shifted
 FROM v a JOIN v b ON b.vec_id = a.vec_id + 1"""
 )
 def vector_ops(spark, d):
     v = _vectors(spark, d)
     p = v.select("vec_id", F.col("vec").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("b")), "vec_id")
     a, b = F.col("a"), F.col("b")
-    first = lambda c: F.round(V.component(c, 0).cast("double"), 6)
+    first = _weighted
     return p.select(
         "vec_id",
         F.round(V.dot(a, b), 6).alias("dot"),
@@ -440,8 +453,7 @@ def _term_vectors(spark, d: str) -> DataFrame:
     counts = N.ngram_counts(corpus(spark, d), 1)
     v = _vectors(spark, d)
     n = v.count()
-    top = counts.orderBy(F.desc("cnt"), "form").limit(n)  # as many as there are vectors
-    ranked = top.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("cnt"), "form")) - 1).cast("long"))
+    ranked = numbered(counts, [F.desc("cnt"), F.asc("form")], "vec_id").where(F.col("vec_id") < n)  # as many as there are vectors
     return save(ranked.join(v.select("vec_id", "vec"), "vec_id").select("form", F.col("cnt").alias("freq"), "vec_id", "vec"), "term-vectors").df
 
 
@@ -511,7 +523,22 @@ def cluster_threshold(spark, d):
     return K.cluster_by_threshold(links, terms, 0.4)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_V}, edge AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b, row_number() OVER (ORDER BY list_dot_product(x.e, y.e) DESC, x.vec_id, y.vec_id) AS place
+  FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_dot_product(x.e, y.e) >= 0.3
+), walk(place, node) AS (
+  SELECT place, a FROM edge
+  UNION SELECT w.place, CASE WHEN e.a = w.node THEN e.b ELSE e.a END FROM walk w JOIN edge e ON (e.a = w.node OR e.b = w.node) AND e.place < w.place
+), forest AS (
+  SELECT a, b, place, row_number() OVER (ORDER BY place) AS n FROM edge e WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.place = e.place AND w.node = e.b)
+), merged AS MATERIALIZED (
+  SELECT a, b FROM forest, (SELECT count(*) AS terms FROM v) WHERE n <= terms - floor(terms * 0.8)
+), reach(form, c) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION SELECT CASE WHEN m.a = r.form THEN m.b ELSE m.a END, r.c FROM reach r JOIN merged m ON m.a = r.form OR m.b = r.form
+) SELECT form, min(c) AS cluster_id FROM reach GROUP BY form"""
+)
 def cluster_k(spark, d):
     links, terms = _links(spark, d, 0.3)
     return K.cluster_by_count(links, terms, int(terms.count() * 0.8))
@@ -565,7 +592,10 @@ def group_pairs(spark, d):
     return E.pairs_within(read(spark, d, "supplier"), "s_nationkey", "s_suppkey")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('1:' || p_partkey), p_partkey) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT p_partkey FROM part))
+SELECT x.p_partkey AS a, y.p_partkey AS b FROM p x JOIN p y ON x.rn + y.rn = x.n + 1 WHERE x.rn <= x.n // 2"""
+)
 def random_pairs(spark, d):
     return E.random_pairs(read(spark, d, "part"), "p_partkey")
 

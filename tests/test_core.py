@@ -228,3 +228,132 @@ def test_streaming_counts(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r["window"]["start"].minute, r["form"]): r["cnt"] for r in spark.table("windowed").collect()}
     assert got == {(0, "a"): 2, (0, "b"): 1, (0, "a b"): 1, (20, "a"): 1}
+
+
+# Settings, files, stages
+
+
+def test_settings_with_inner_capitals(tmp_path):
+    (tmp_path / "a.properties").write_text("textProcessor=org.example.NullProcessor\nminCount=9\nngramCountFilenames=a.txt,b.txt\n#overallThreshold=0\nsemanticMinimum=.35\nunknownKey=1\n")
+    s = config.load(f"{tmp_path}/a.properties")
+    assert (s.processor, s.min_count, s.ngram_count_filenames, s.semantic_minimum) == ("none", 9, ("a.txt", "b.txt"), 0.35)
+    assert s.overall_threshold is None and s.permutation_penalty is None and s.ortho_maximum == config.Settings().ortho_maximum
+    (tmp_path / "b.properties").write_text("textProcessor=org.example.Unheard\n")
+    with pytest.warns(UserWarning):
+        assert config.load(f"{tmp_path}/b.properties").processor == "moderate"
+
+
+def test_thesaurus_file_as_other_programs_write_it(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("case-sensitive thesaurus\nclass org.example.OwnProcessor\nalone\nheart attack\tMI\t0.9;0.8;0.7;0.1\tinfarct\t0.5;0.4;0.3;0.2\n")
+    assert X.read_thesaurus_header(spark, f"{tmp_path}/t.txt") == {"case_sensitive": True, "processor": "org.example.OwnProcessor"}
+    assert sorted(r["p2"] for r in X.read_thesaurus(spark, f"{tmp_path}/t.txt").collect()) == ["MI", "infarct"]
+    t = X.read_thesaurus(spark, f"{tmp_path}/t.txt")
+    X.write_thesaurus(t, f"{tmp_path}/out", "p", case_sensitive=False)
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ["non-case-sensitive thesaurus", "p", "heart attack\tMI\t0.9;0.8;0.7;0.1\tinfarct\t0.5;0.4;0.3;0.2"]
+
+
+def test_a_large_headword_comes_in_several_rows_in_order(spark):
+    data = [("hot", f"f{i:04d}", float((i * 7) % 50), 0.0, 0.0, 0.0) for i in range(900)] + [("cold", "x", None, 0.0, 0.0, 0.0), ("cold", "y", 1.0, 0.0, 0.0, 0.0)]
+    t = spark.createDataFrame(data, "p1 string, p2 string, overall double, semantic double, ortho double, abbr double").repartition(3)
+    got = H.nested(t, most=100).collect()
+    hot = [e["form"] for r in sorted((r for r in got if r["head"] == "hot"), key=lambda r: r["part"]) for e in r["entries"]]
+    assert hot == [x[1] for x in sorted((x for x in data if x[0] == "hot"), key=lambda x: (-x[2], x[1]))]
+    assert sum(r["head"] == "hot" for r in got) > 1 and all(len(r["entries"]) < 900 for r in got)
+    assert [[e["form"] for e in r["entries"]] for r in got if r["head"] == "cold"] == [["y", "x"]]
+
+
+def test_numbers_have_no_gaps_and_follow_the_order(spark):
+    from lexweave.operators.order import first_rows, numbered
+
+    df = spark.range(1_000).select((F.col("id") * 37 % 1_000).alias("k"))
+    assert sorted((r["place"], r["k"]) for r in numbered(df, [F.desc("k")], start=1).collect()) == [(i + 1, 999 - i) for i in range(1_000)]
+    assert sorted(r["k"] for r in first_rows(df, [F.col("k")], 3).collect()) == [0, 1, 2]
+    assert numbered(df.limit(0), [F.col("k")]).count() == 0 and first_rows(df, [F.col("k")], 0).count() == 0
+
+
+def test_vector_files_stream_split_and_keep_the_first_of_a_term(spark, tmp_path, monkeypatch):
+    from lexweave.sources import binary
+
+    m = np.arange(15, dtype=np.float32).reshape(5, 3)
+    (tmp_path / "no_newline.bin").write_bytes(X.encode_word2vec(["a", "b c", "a", "__", "d"], m).replace(b"\n", b"\n", 1))
+    got = {r["form"]: r["vec"] for r in X.read_word2vec(spark, f"{tmp_path}/no_newline.bin").collect()}
+    assert got == {"a": [0, 1, 2], "b c": [3, 4, 5], "d": [12, 13, 14]}
+    dense = b"2 3\n" + b"x " + m[0].tobytes() + b"y " + m[1].tobytes()  # no newline after a vector
+    assert X.decode_word2vec(dense)[1] == ["x", "y"] and X.decode_word2vec(dense, 1)[1] == ["x"]
+    with pytest.raises(EOFError):
+        X.decode_word2vec(dense[:-2])
+    (tmp_path / "many").mkdir()
+    assert X.write_word2vec(spark.createDataFrame([(f"t{i}", [float(i)] * 3) for i in range(50)], "form string, vec array<float>").repartition(3), f"{tmp_path}/many") == 50
+    assert {r["form"]: r["vec"][0] for r in X.read_word2vec(spark, f"{tmp_path}/many").collect()} == {f"t{i}": float(i) for i in range(50)}
+    assert len(binary.files_of(f"{tmp_path}/many")) == 3
+    words, contexts = np.random.default_rng(1).standard_normal((2, 20, 4))
+    (tmp_path / "g.bin").write_bytes(X.encode_glove(words, contexts))
+    (tmp_path / "g.txt").write_text("".join(f"w{i} 1\n" for i in range(20)))
+    monkeypatch.setattr(binary._GloveReader, "split_rows", 6)
+    got = {r["form"]: r["vec"] for r in X.read_glove(spark, f"{tmp_path}/g.bin", f"{tmp_path}/g.txt").collect()}
+    both = words + contexts
+    for i in range(20):
+        assert got[f"w{i}"] == pytest.approx(both[i] / np.linalg.norm(both[i]), abs=1e-6)
+
+
+def test_pairs_of_a_large_group_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(E, "GROUP_BLOCK", 7)
+    items = spark.createDataFrame([("g", f"i{i:02d}") for i in range(40)] + [("h", "i01"), ("h", "z"), (None, "q"), ("h", None), ("g", "i00")], "g string, i string")
+    got = {tuple(r) for r in E.pairs_within(items, "g", "i").collect()}
+    assert got == {(f"i{a:02d}", f"i{b:02d}") for a in range(40) for b in range(a + 1, 40)} | {("i01", "z")}
+
+
+def test_reordering_many_words_takes_no_factorial_time():
+    import time
+
+    words = [f"w{i}" for i in range(10)]
+    start = time.perf_counter()
+    assert D.least_reordered(words, " ".join(words[1:] + words[:1])) == 0
+    assert time.perf_counter() - start < 20
+    assert D.least_reordered(["a"], "a") is None and D.least_reordered(["a", "a"], "a a") is None
+
+
+def test_marked_tokens_take_no_part_in_a_thesaurus(spark):
+    forms = ["zxzxpzdate", "zxzxpztime", "attack", "attach"]
+    v = spark.createDataFrame([(f, [1.0, 0.1]) for f in forms], "form string, vec array<float>")
+    s = config.Settings()
+    assert {r["p1"] for r in H.build_thesaurus(v, s).collect()} == {"attack", "attach"}
+    assert len(H.build_thesaurus(v, config.Settings(processor="none")).select("p1").distinct().collect()) == 4
+
+
+def test_stages_as_commands(spark, tmp_path):
+    from lexweave import commands
+
+    (tmp_path / "in.txt").write_text("the red cat sat\nthe red cat ran\n\nthe red cat on 1/2/2016 ran\n" * 20)
+    (tmp_path / "s.properties").write_text("minCount=5\nmaxNgramOrder=3\ntextProcessor=moderate\nembeddingsCaseSensitive=true\n")
+    p = lambda x: f"{tmp_path}/{x}"
+    for stage in (["preprocess", p("in.txt"), p("clean")], ["count", p("clean"), p("counts")], ["prune", p("counts"), p("pruned")], ["collocations", p("found"), p("pruned")], ["apply", p("found"), p("clean"), p("joined")]):
+        commands.run(spark, [*stage, "--settings", p("s.properties")])
+    found = {r["form"] for r in X.read_collocations(spark, p("found")).collect()}
+    assert "red cat" in found and not any("zxzxpz" in f for f in found)
+    assert any("red_cat" in r["line"] for r in X.read_corpus(spark, p("joined")).collect())
+    with pytest.raises(SystemExit):
+        commands.run(spark, ["no-such-stage"])
+
+
+def test_experiments(spark):
+    c = spark.createDataFrame([("C1", "L1", "Heart Attack"), ("C1", "L1", "attacks of the heart"), ("C1", "L2", "mi"), ("C2", "L1", "heart attack"), ("C1", "L1", "on 1/2/2016")], "concept string, lui string, form string")
+    s = config.Settings(max_phrase_length=4)
+    assert [tuple(r) for r in E.concept_experiment(c, None, s).collect()] == [("attacks of the heart", "heart attack")]
+    short = spark.createDataFrame([("mi", "x")], "abbr string, long string")
+    assert {tuple(r) for r in E.concept_experiment(c, short, s, by="concept").collect()} == {("attacks of the heart", "heart attack")}
+    v = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [2.0, 2.0])], "form string, vec array<float>")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "zz")], "a string, b string")
+    got = {r["phrase2"]: r for r in E.scored_pairs(pairs, v, abbr=True).collect()}
+    assert got["b"]["semantic"] == pytest.approx(0.5**0.5, abs=1e-6) and got["zz"]["semantic"] is None
+    assert got["zz"]["abbreviation"] == 4.0 or got["zz"]["abbreviation"] > 0
+
+
+def test_entry_leaves_out_what_cannot_be_imported(monkeypatch):
+    import __spark_entry__ as entry
+
+    real = entry.importlib.import_module
+    monkeypatch.setattr(entry.importlib, "import_module", lambda n: (_ for _ in ()).throw(ImportError("gone")) if n.startswith("lexweave.llm") else real(n))
+    with pytest.warns(UserWarning):
+        assert "ngram_counts" in entry.queries() and not any(k.startswith("p1_") for k in entry.queries())
