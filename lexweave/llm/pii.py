@@ -43,8 +43,8 @@ from ..share import share
 from .common import table, whole_list
 
 TRAINING_DOCS = 2_000
-#: Share of training sentences in which the field doesn't see the forms.
-FORMS_HIDDEN = 0.15
+#: Shares of training sentences in which the field doesn't see the forms, and in which it sees next neighbours only.
+FORMS_HIDDEN, CONTEXT_HIDDEN = 0.15, 0.3
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
@@ -75,7 +75,7 @@ PERSON_ID = re.compile(
     re.I,
 )
 THING_ID = re.compile(r"(?:order|specimen|sample|lot|batch|device|serial|ext|extension)[\s.:#]*(?:no|number)?[\s.:#]*$", re.I)
-PHONE_CUE = re.compile(r"(?:\btel\w*|phone\w*|call\w*|fax|mobile|cell|contact\w*|ring|rang|reach\w*|teléfono|móvil|mobil|anruf\w*)\W+(?:\w+\W+){0,3}$", re.I)
+PHONE_CUE = re.compile(r"(?:\btel\w*|\bcb\b|phone\w*|call\w*|fax|mobile|cell|contact\w*|ring|rang|reach\w*|teléfono|móvil|mobil|anruf\w*)\W+(?:\w+\W+){0,3}$", re.I)
 
 STREET = (
     "street|st|avenue|ave|road|rd|drive|dr|lane|ln|boulevard|blvd|court|ct|close|way|terrace|place|pl|square|sq|crescent|parkway|pkwy|highway|circle|row|walk"
@@ -327,6 +327,9 @@ class Doc:
             put("email", i, j)
         for i, j in self.spans["address"]:
             inner = [x for x in low[i + 1 : j] if x.isalpha() and len(x) > 1][:-1]
+            follows = j + 1 if j < n and self.words[j] == "." else j
+            if low[j - 1] in TITLES and follows < n and self.name_kind[follows]:
+                continue  # the street's end may be a title
             if not any(x in common or x in UNITS for x in inner):
                 put("address", i, j)
         for i, j in self.spans["id_number"]:
@@ -340,8 +343,8 @@ class Doc:
                 put(None, i, j)
             elif THING_ID.search(self.text[max(0, self.start[i] - 20) : self.start[i]]):
                 put(None, i, j)
-            elif self.words[i] in "(+" or PHONE_CUE.search(self.text[max(0, self.start[i] - 40) : self.start[i]]):
-                put("phone", i, j)
+            elif "-" not in self.words[i:j] or self.words[i] in "(+" or KIN.intersection(low[max(0, i - 8) : i]) or PHONE_CUE.search(self.text[max(0, self.start[i] - 40) : self.start[i]]):
+                put("phone", i, j)  # without a telling place, numbers with hyphens may be ranges or doses
             elif not taken[i:j].any():
                 open_[i:j] = True
         for i, j in self.spans["id_number"]:
@@ -622,6 +625,9 @@ def items(doc: Doc, label: np.ndarray) -> list[tuple[str, int, int]]:
         over = [(min(j, q) - max(i, p), p, q) for p, q in doc.spans[kind] if p < j and q > i]
         if over:
             _, a, b = max(over)
+        if not over and kind != "name" and not any(x in "@" or x.lower() in ("at", "dot") if kind == "email" else x.isdigit() for x in doc.words[a:b]):
+            i = j  # the exact check of what has no form
+            continue
         start, end = int(doc.start[a]), int(doc.end[b - 1])
         if kind == "name" or not over:
             while end > start and doc.text[end - 1] in ",;:-" or (doc.text[start:end].endswith(".") and b - a == 1):
@@ -643,7 +649,7 @@ def _start_sentences(names: Names, rng: np.random.Generator) -> list[str]:
     pick = lambda x: str(x[rng.integers(len(x))])
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
     out = []
-    for s in SENTENCES * 10:
+    for s in SENTENCES * 16:
         g, f = pick(given).title(), pick(family).title()
         n = [f"{g} {f}", f"{f.upper()}, {g}", f"{g[0]}. {f}", f"{f}, {g}", f"{g} {pick(given)[0].upper()}. {f}", f"{g} {f}".lower()][rng.integers(6)]
         p = [f"({digits(3)}) 555-{digits(4)}", f"+1 {digits(3)} 555 {digits(4)}", f"{digits(3)}-555-{digits(4)}", f"0{digits(4)} {digits(6)}"][rng.integers(4)]
@@ -654,10 +660,20 @@ def _start_sentences(names: Names, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _among_lines(sentences: list[str], texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Most of the sentences put between lines of the texts, as items stand in any surroundings."""
+    lines = [x[:120] for t in texts if t for x in t.split("\n")[:40] if x.strip()]
+    if not lines:
+        return sentences
+    pick = lambda: lines[rng.integers(len(lines))]
+    gap = lambda: "\n" if rng.random() < 0.6 else " "
+    return [pick() + gap() + s + gap() + pick() if rng.random() < 0.7 else s for s in sentences]
+
+
 def train(texts: list[str], names: Names, common: set[str], steps: int = 180, seed: int = 3) -> Field:
     rng = np.random.default_rng(seed)
     cache: dict = {}
-    docs = [Doc(t, names, cache) for t in [*texts, *_start_sentences(names, rng)] if t and t.strip()]
+    docs = [Doc(t, names, cache) for t in [*texts, *_among_lines(_start_sentences(names, rng), texts, rng)] if t and t.strip()]
     # Sentences without any form say little more than others of their kind: of each word pattern some are kept.
     allowed, kept, patterns = [], [], Counter()
     tokens_seen: Counter = Counter()
@@ -715,6 +731,8 @@ def train(texts: list[str], names: Names, common: set[str], steps: int = 180, se
                         for kk, ff in enumerate(field.feature_ids(w)):
                             m[kk, : len(ff)] = ff[: width + 3]
                     f[i, k] = m[k]
+        if rng.random() < CONTEXT_HIDDEN:
+            f[:, [k for k, r in enumerate(REACH) if abs(r) > 1]] = blank
         feats.append(f.reshape(n, -1))
         if not hasattr(d, "flag"):
             d.flag = d.flags(common)

@@ -587,7 +587,7 @@ def _spans(field, text):
 
 def test_skip_links_find_what_a_sentence_alone_does_not_tell(field):
     family = "Hasketti Haskwell Haskdorn Brametti Bramwell Bramdorn Yarretti Yarrwell Yarrmond Pelldorn".split()
-    texts = [f"Seen by Dr. {n}. {n.lower()} today again negative." for n in family]
+    texts = [t for n in family for t in (f"Mrs. {n} was told. Later it was {n}", f"Dr. {n} came. The plan is {n.lower()}, later.")]
     linked = [_spans(field, t)[0] for t in texts]
     f, kept = field[0], field[0].skip
     try:
@@ -597,7 +597,7 @@ def test_skip_links_find_what_a_sentence_alone_does_not_tell(field):
         f.skip = kept
     assert all(set(a) <= set(s) for a, s in zip(alone, linked))
     lost = [(t, x) for t, a, s in zip(texts, alone, linked) for x in set(s) - set(a)]
-    assert len(lost) >= 5  # mentions that only the links make names
+    assert len(lost) >= 10  # mentions that only the links make names
     for t, (kind, _, at) in lost:  # and that the rules leave open
         d = pii.Doc(t, f.names, {})
         assert kind == "name" and d.by_rules(field[1])[int(np.searchsorted(d.start, at))].all()
