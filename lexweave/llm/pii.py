@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..share import share
+from .share import share
 from .common import table, whole_list
 
 TRAINING_DOCS = 2_000
