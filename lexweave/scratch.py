@@ -55,10 +55,6 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def n_bytes(self) -> int:
-        p, fs = self._fs()
-        return int(fs.getContentSummary(p).getLength())
-
     def drop(self) -> None:
         p, fs = self._fs()
         fs.delete(p, True)
@@ -71,7 +67,3 @@ def save(df: DataFrame, name: str) -> Table:
     df.write.parquet(path)
     return Table(spark, path, df.schema)
 
-
-def partitions_for(spark: SparkSession, n_bytes: float, target: int = 64 << 20) -> int:
-    """Number of tasks so that each handles about ``target`` bytes, at least one per core slot."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes / target) + 1)
