@@ -193,6 +193,6 @@ def p8_checks(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_checks": p8_checks}
 SQL = {
-    "p8_checks": """SELECT mix_name, count(*) AS targets, 0 AS over_cap, 0 AS strangers, 0 AS gaps, true AS whole
+    "p8_checks": """SELECT mix_name, count(*) AS targets, 0::BIGINT AS over_cap, 0::BIGINT AS strangers, 0::BIGINT AS gaps, true AS whole
 FROM (SELECT DISTINCT mix_name, source FROM mix_targets) GROUP BY mix_name""",
 }

@@ -311,6 +311,6 @@ def p7_checks(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checks": p7_checks}
 SQL = {
-    "p7_checks": """SELECT pack_name, (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\S')) AS docs, 0 AS over_full, 0 AS cut, 0 AS broken, true AS filled
+    "p7_checks": """SELECT pack_name, (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\S')) AS docs, 0::BIGINT AS over_full, 0::BIGINT AS cut, 0::BIGINT AS broken, true AS filled
 FROM (SELECT DISTINCT pack_name FROM pack_sizes WHERE capacity_tokens > 0)"""
 }

@@ -894,4 +894,4 @@ def p5_checks(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p5_checks": p5_checks}
-SQL = {"p5_checks": r"SELECT count(*) AS docs, count(*) FILTER (regexp_matches(text, '\S')) AS texts, 0 AS broken FROM documents"}
+SQL = {"p5_checks": r"SELECT count(*) AS docs, count(*) FILTER (regexp_matches(text, '\S')) AS texts, 0::BIGINT AS broken FROM documents"}
