@@ -11,7 +11,8 @@ linked in a chain.  Repeated and similar tokens of a document that could be
 names are linked as well, over any distance (the skip chain): equal words but
 for a possessive, words a letter apart, and an initial with a given name.  The
 links of a group form a tree of small depth, and message passing goes on until
-the beliefs settle, so what one place says reaches all others.  An exact check
+the beliefs settle, so what one place says reaches all others.  Sentences in which no form, title, word
+of kinship or link occurs have no items.  An exact check
 of the bounds follows: an item is set to the bounds of the span it overlaps.
 
 Training.  There are no rated texts, so the field is trained on at most
@@ -101,14 +102,23 @@ FORMS = {
     ),
     "id_number": re.compile(r"(?<![\w+/-])(?:[A-Z]{1,3}-?)?\d{2,}(?:[ -]\d{2,}|\n\d{2,})*(?![\w/:]|-\w|\.\d)"),
     "address": re.compile(
-        rf"(?<![\w-])\d{{1,5}}\s?[A-Za-z]?\s+(?:[NSEW]\.?\s+)?(?:{_L}+\s+){{1,3}}(?:{STREET})\b(?:\.?,?\s+(?:apt|unit|suite|ste|flat)\.?\s*\w+|\.?\s*\#\s?\w+)?"
-        rf"|\bP\.?\s?O\.?\s?Box\s+\d+"
-        rf"|\b[A-ZÄÖÜ][{'A-Za-zäöüßÄÖÜ'}]*(?:straße|strasse|str\.|weg|gasse|platz|allee)\s+\d+\s?[a-z]?\b"
-        rf"|(?<!\w)(?:Calle|C/|Avenida|Avda\.|Paseo|Plaza|Camino)\s+(?:{_L}+\s+){{0,3}}{_L}+,?\s+\d+[a-z]?\b",
+        rf"(?<![\w-])\d{{1,5}}\s?[A-Za-z]?\s+(?:[NSEW]\.?\s+)?(?:{_L}+\s+){{1,3}}(?:{STREET})\b(?:\.?,?\s+(?:apt|unit|suite|ste|flat)\.?\s*\w+|\.?\s*\#\s?\w+)?",
         re.I,
     ),
 }
 N_FLAGS = 2 * len(KINDS) + 8
+#: More forms of addresses, with what a lower-cased text must hold for each to be looked for.
+MORE_ADDRESSES = (
+    (("box",), re.compile(r"\bP\.?\s?O\.?\s?Box\s+\d+", re.I)),
+    (
+        ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee"),
+        re.compile(r"\b[A-ZÄÖÜ][A-Za-zäöüßÄÖÜ]*(?:straße|strasse|str\.|weg|gasse|platz|allee)\s+\d+\s?[a-z]?\b", re.I),
+    ),
+    (
+        ("calle", "c/", "avenida", "avda.", "paseo", "plaza", "camino"),
+        re.compile(rf"(?<!\w)(?:Calle|C/|Avenida|Avda\.|Paseo|Plaza|Camino)\s+(?:{_L}+\s+){{0,3}}{_L}+,?\s+\d+[a-z]?\b", re.I),
+    ),
+)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_")
 _ABBREVIATED = set("ave blvd apt hosp med rec soc sec ste str".split())
 
@@ -158,15 +168,23 @@ class Doc:
         self.end = np.array([x.end() for x in m], np.int64)
         self.words = [x.group() for x in m]
         self.spans: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-        has_digit = any(c.isdigit() for c in text)
+        low = text.lower()
+        has_digit = re.search(r"\d", text) is not None
         for kind, form in FORMS.items():
-            if kind in ("phone", "id_number") and not has_digit:
-                continue
-            if kind == "email" and "@" not in text and "dot" not in text.lower() and "[at]" not in text.lower():
+            if kind != "email" and not has_digit or kind == "email" and "@" not in low and "dot" not in low and "[at]" not in low:
                 continue
-            for x in form.finditer(text):
-                a, b = x.span()
-                if kind == "id_number" and sum(c.isdigit() for c in x.group()) < 6:
+            met = [x.span() for x in form.finditer(text)]
+            if kind == "address":
+                more = [x.span() for needs, f in MORE_ADDRESSES if any(n in low for n in needs) for x in f.finditer(text)]
+                # Where two forms meet, the one that starts first holds, then the longer.
+                held, last = [], -1
+                for a, b in sorted(met + more, key=lambda x: (x[0], -x[1])):
+                    if a >= last:
+                        held.append((a, b))
+                        last = b
+                met = held
+            for a, b in met:
+                if kind == "id_number" and sum(c.isdigit() for c in text[a:b]) < 6:
                     continue
                 i, j = int(np.searchsorted(self.start, a)), int(np.searchsorted(self.end, b, "right"))
                 if i < j and self.start[i] == a:
@@ -177,11 +195,15 @@ class Doc:
             if c is None:
                 low = w.lower()
                 c = cache[w] = (
-                    (1 if names.is_a(low, "given") else 0) | (2 if names.is_a(low, "family") else 0) if w[0].isalpha() else 0
+                    (1 if names.is_a(low, "given") else 0) | (2 if names.is_a(low, "family") else 0) | (4 if low in TITLES or low in KIN else 0)
+                    if w[0].isalpha()
+                    else 4 * (w == "@")
                 )
             kind_of.append(c)
-        self.name_kind = kind_of
-        if any(kind_of):
+        kinds = np.array(kind_of, np.int64)
+        self.cues = np.flatnonzero(kinds & 4)
+        self.name_kind = (kinds & 3).tolist()
+        if (kinds & 3).any():
             self._name_spans()
 
     def _initial(self, i: int) -> bool:
@@ -255,7 +277,7 @@ class Doc:
             out.append((a, n))
         return out
 
-    def flags(self, common: set[str]) -> np.ndarray:
+    def flags(self, common: set[str], of: np.ndarray | None = None) -> np.ndarray:
         """Columns: first and later tokens of each form; given, family; capital, all capitals; a common word; first of a line, after a full stop; one."""
         n = len(self.words)
         f = np.zeros((n, N_FLAGS), np.float32)
@@ -265,18 +287,20 @@ class Doc:
                 f[i + 1 : j, 2 * k + 1] = 1
         base = 2 * len(KINDS)
         if n:
-            kinds = np.array(self.name_kind)
+            f[0, base + 5] = 1
+            at = np.searchsorted(self.start, [m.start() for m in re.finditer("\n", self.text)])
+            f[at[at < n], base + 5] = 1
+        f = f if of is None else f[of]
+        of = np.arange(n) if of is None else of
+        if len(of):
+            kinds = np.array(self.name_kind)[of]
+            words = [self.words[i] for i in of.tolist()]
             f[:, base] = kinds & 1
             f[:, base + 1] = kinds >> 1
-            f[:, base + 2] = [x[0].isupper() for x in self.words]
-            f[:, base + 3] = [x.isupper() and len(x) > 1 for x in self.words]
-            f[:, base + 4] = [x.lower() in common for x in self.words]
-            breaks = [m.start() for m in re.finditer("\n", self.text)]
-            f[0, base + 5] = 1
-            if breaks:
-                at = np.searchsorted(self.start, breaks)
-                f[at[at < n], base + 5] = 1
-            f[1:, base + 6] = [x in ".!?:" for x in self.words[:-1]]
+            f[:, base + 2] = [x[0].isupper() for x in words]
+            f[:, base + 3] = [x.isupper() and len(x) > 1 for x in words]
+            f[:, base + 4] = [x.lower() in common for x in words]
+            f[:, base + 6] = [i > 0 and self.words[i - 1] in ".!?:" for i in of.tolist()]
             f[:, base + 7] = 1
         return f
 
@@ -478,31 +502,34 @@ class Field:
         f = word_features(w, self.vocabulary)
         return [[self.index[k] for x in f if (k := f"{r}:{x}") in self.index] for r in REACH]
 
-    def unary(self, doc: Doc, common: set[str]) -> np.ndarray:
-        """Potentials of a document's tokens; scores of a word are computed once."""
-        rows = []
+    def unary(self, doc: Doc, common: set[str], of: np.ndarray | None = None) -> np.ndarray:
+        """Potentials of a document's tokens, or of some of them in order; scores of a word are computed once."""
+        n = len(doc.words)
+        of = np.arange(n) if of is None else of
+        place = np.full(n, -1)
+        place[of] = np.arange(len(of))
+        around = np.unique(np.concatenate([of + r for r in REACH])) if n else of
+        around = around[(around >= 0) & (around < n)]
+        rows = np.zeros(n, np.int64)
         fresh = []
-        for w in doc.words:
+        for i in around.tolist():
+            w = doc.words[i]
             r = self.rows.get(w)
             if r is None:
                 r = self.rows[w] = len(self.rows)
-                fresh.append(np.stack([self.weights[i].sum(0) if i else np.zeros(N, np.float32) for i in self.feature_ids(w)]))
-            rows.append(r)
+                fresh.append(np.stack([self.weights[x].sum(0) if x else np.zeros(N, np.float32) for x in self.feature_ids(w)]))
+            rows[i] = r
         if fresh:
             self._grow(fresh)
-        at = np.array(rows, np.int64)
-        u = doc.flags(common) @ self.flag_weights
+        u = doc.flags(common, of) @ self.flag_weights
         for i, j, f in doc.span_features(common):
             ids = [x for k in f if (x := self.span_index.get(k)) is not None]
             if ids:
-                u[i:j] += self.span_weights[ids].sum(0)[KIND_OF]
+                u[place[i:j]] += self.span_weights[ids].sum(0)[KIND_OF]
         for k, r in enumerate(REACH):
-            if r == 0:
-                u += self.scores[at, k]
-            elif r < 0 and len(at) > -r:
-                u[-r:] += self.scores[at[:r], k]
-            elif r > 0 and len(at) > r:
-                u[:-r] += self.scores[at[r:], k]
+            at = of + r
+            ok = (at >= 0) & (at < n)
+            u[ok] += self.scores[rows[at[ok]], k]
         return u.astype(np.float64)
 
     def _grow(self, fresh: list) -> None:
@@ -519,8 +546,11 @@ class Field:
             self.rows, self.scores, self.name_cache = {}, np.zeros((0, len(REACH), N), np.float32), {}
 
     @staticmethod
-    def skip_edges(doc: Doc, common: set[str]) -> list[tuple[int, int]]:
-        """Links between equal and similar words that could be names, a tree per group; and of an initial with a given name."""
+    def skip_edges(doc: Doc, common: set[str], telling: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links between equal and similar words that could be names, a tree per group; and of an initial with a given name.
+
+        ``telling``: only groups with a word at one of these tokens (a mask).
+        """
         seen: dict[str, list[int]] = defaultdict(list)
         initials: list[int] = []
         for i, w in enumerate(doc.words):
@@ -554,6 +584,8 @@ class Field:
             members[root(form)] += at
         edges = []
         for at in members.values():
+            if len(at) < 2 or telling is not None and not any(telling[i] for i in at):
+                continue
             at.sort()
             edges += [(at[(m - 1) // 2], at[m]) for m in range(1, len(at))]
         if initials:
@@ -561,15 +593,49 @@ class Field:
             for form, at in seen.items():
                 if doc.name_kind[at[0]] & 1:
                     given.setdefault(form[0], at[0])
-            edges += [(given[x], i) for i in initials if (x := doc.words[i].lower()) in given]
+            pairs = [(given[x], i) for i in initials if (x := doc.words[i].lower()) in given]
+            edges += [e for e in pairs if telling is None or telling[e[0]] or telling[e[1]]]
         return edges
 
+    def asked(self, doc: Doc, common: set[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Sentences that may hold an item, and the skip links.
+
+        These are the sentences with a form, a title, a word of kinship or an
+        @, and those that a link joins with one of them.
+        """
+        pieces, n = doc.pieces(), len(doc.words)
+        telling = np.zeros(n, bool)
+        telling[doc.cues] = True
+        for spans in doc.spans.values():
+            for i, j in spans:
+                telling[i:j] = True
+        if not telling.any():
+            return [], []
+        piece_of = np.repeat(np.arange(len(pieces)), [b - a for a, b in pieces])
+        on = np.zeros(len(pieces), bool)
+        on[piece_of[telling]] = True
+        edges = self.skip_edges(doc, common, on[piece_of])
+        for e in edges:
+            on[piece_of[list(e)]] = True
+        return [pieces[k] for k in np.flatnonzero(on)], edges
+
     def label(self, docs: list[Doc], common: set[str]) -> list[np.ndarray]:
-        """Labels of each document's tokens, by loopy message passing over chains and skip links."""
-        offset = np.cumsum([0] + [len(d.words) for d in docs])
-        u = np.concatenate([self.unary(d, common) for d in docs]) if docs else np.zeros((0, N))
-        pieces = [(a + o, b + o) for d, o in zip(docs, offset) for a, b in d.pieces()]
-        edges = np.array([(a + o, b + o) for d, o in zip(docs, offset) for a, b in self.skip_edges(d, common)], np.int64).reshape(-1, 2)
+        """Labels of each document's tokens, by loopy message passing over chains and skip links; O in sentences that aren't ``asked``."""
+        out = [np.zeros(len(d.words), np.int64) for d in docs]
+        asked = [self.asked(d, common) for d in docs]
+        of = [np.concatenate([np.arange(a, b) for a, b in p]) if p else np.zeros(0, np.int64) for p, _ in asked]
+        some = [k for k, x in enumerate(of) if len(x)]
+        if not some:
+            return out
+        offset = np.cumsum([0] + [len(of[k]) for k in some])
+        u = np.concatenate([self.unary(docs[k], common, of[k]) for k in some])
+        pieces, edges = [], []
+        for k, o in zip(some, offset):
+            place = np.zeros(len(docs[k].words), np.int64)
+            place[of[k]] = np.arange(o, o + len(of[k]))
+            pieces += [(int(place[a]), int(place[b - 1]) + 1) for a, b in asked[k][0]]
+            edges += [(place[a], place[b]) for a, b in asked[k][1]]
+        edges = np.array(edges, np.int64).reshape(-1, 2)
         trans = self.trans + FORBIDDEN
         extra = np.zeros_like(u)
         if len(edges):
@@ -598,13 +664,15 @@ class Field:
                 np.add.at(extra, b, to_b)
                 if moved < SETTLED:
                     break
-        out = np.zeros(len(u), np.int64)
+        label = np.zeros(len(u), np.int64)
         u = u + extra
         for index, size in _padded(pieces):
             y = viterbi(u[index], size, trans)
             keep = np.arange(index.shape[1])[None] < size[:, None]
-            out[index[keep]] = y[keep]
-        return [out[o : o + len(d.words)] for d, o in zip(docs, offset)]
+            label[index[keep]] = y[keep]
+        for k, o in zip(some, offset):
+            out[k][of[k]] = label[o : o + len(of[k])]
+        return out
 
 
 def items(doc: Doc, label: np.ndarray) -> list[tuple[str, int, int]]:
