@@ -100,7 +100,7 @@ class Reader:
         n = len(raw)
         f = np.zeros((n, len(LINE_FIGURES)), np.float32)
         seen = Counter(x.strip() for x in raw)
-        words_of, starts, shapes, delims = [], [], [], []
+        words_of, starts, shapes, delims, spelled = [], [], [], [], []
         n_words = n_chars = n_common = n_symbols = 0
         letters_in_words = 0
         for i, x in enumerate(raw):
@@ -114,11 +114,9 @@ class Reader:
             symbols = max(0, n_s - letters - digits - blanks)
             common = sum(w in self.common for w in words)
             mark = _MARK.match(x)
-            columns = [m.end() for m in _COLUMN.finditer(x)]
+            # Without a tab and with single blanks only there is no column.
+            columns = [m.end() for m in _COLUMN.finditer(x)] if blanks >= len(tokens) or "\t" in s else []
             count = [s.count(d) for d in _DELIMITERS]
-            odd = 0.0
-            if words:
-                odd = self._oddness(words)
             inner = len(_INNER.findall(s)) if symbols else 0
             row = f[i]
             row[0] = 1
@@ -132,20 +130,20 @@ class Reader:
             row[10] = s[-1] in ".!?"
             row[11] = s.endswith(_ENDS)
             row[12] = mark is not None
-            row[13] = min(len(_PAIR.findall(s)), 4) / 2
+            row[13] = min(len(_PAIR.findall(s)), 4) / 2 if "=" in s else 0
             row[15] = min(len(columns), 4) / 2
             row[16] = min(sum(count[:3]), 8) / 4
             row[18] = len(_HEX.findall(s)) / len(tokens)
-            row[19] = len(_FILL.findall(s)) / len(tokens)
+            row[19] = len(_FILL.findall(s)) / len(tokens) if symbols > 3 or "____" in s else 0
             row[20] = min(seen[s] - 1, 5) / 5
             row[21] = len(set(s)) / min(n_s, 40)
-            row[22] = odd
             row[23] = inner / len(tokens)
             row[24] = len(_VOWEL.findall(s)) / max(1, letters)
             row[38] = len(tokens) == 1
             row[39] = min(max(map(len, tokens)), 80) / 40
             row[40] = 0 if s.isascii() else len(_STRANGE.findall(s)) / n_s
             words_of.append(sorted({self.vocabulary[w] for w in words if w in self.vocabulary}))
+            spelled.append(" ".join(words))
             starts.append((columns + [-1] * 4)[:4])
             shapes.append(mark.group().strip()[:1] if mark else "")
             delims.append(tuple(count))
@@ -154,6 +152,7 @@ class Reader:
             n_chars += n_s - blanks
             n_common += common
             n_symbols += symbols
+        f[:, 22] = self._oddness(spelled)
         # Vertical alignment: the same number of a delimiter, or columns at the same place, in a line within three before or after.
         aligned = np.zeros(n)
         if n > 1:
@@ -198,11 +197,17 @@ class Reader:
         }
         return f, words_of, figures
 
-    def _oddness(self, words: list[str]) -> float:
-        s = " ".join(words).encode("ascii", "replace")
-        a = np.frombuffer(s, np.uint8).astype(np.int64) - 96
+    def _oddness(self, lines: list[str]) -> np.ndarray:
+        """How unusual the letter pairs of each line are, on average; 0 for fewer than two letters."""
+        size = np.array([len(x) for x in lines], np.int64)
+        a = np.frombuffer("\n".join(lines).encode("ascii", "replace"), np.uint8).astype(np.int64) - 96
         a[(a < 1) | (a > 26)] = 0
-        return -float(self.pairs[a[:-1], a[1:]].mean()) if len(a) > 1 else 0.0
+        if len(a) < 2:
+            return np.zeros(len(lines))
+        sums = np.concatenate([[0.0], np.cumsum(self.pairs[a[:-1], a[1:]], dtype=np.float64)])
+        start = np.minimum(np.cumsum(size + 1) - size - 1, len(sums) - 1)
+        pairs = np.maximum(size - 1, 0)
+        return -(sums[start + pairs] - sums[start]) / np.maximum(pairs, 1)
 
 
 def letter_pairs(texts: list[str]) -> np.ndarray:
