@@ -49,8 +49,9 @@ def apply_collocations(line_table: DataFrame, found: DataFrame, keep_case: bool
     """
     spark = line_table.sparkSession
     forms = found.select("form").where(F.col("form").contains(" ")).distinct()
-    if forms.count() <= broadcast_limit:
-        shared = spark.sparkContext.broadcast(_index([r["form"] for r in forms.collect()]))
+    few = forms.limit(broadcast_limit + 1).collect()
+    if len(few) <= broadcast_limit:
+        shared = spark.sparkContext.broadcast(_index([r["form"] for r in few]))
 
         @F.pandas_udf("string")
         def rewrite(w: pd.Series) -> pd.Series:
