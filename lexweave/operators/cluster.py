@@ -23,6 +23,26 @@ def _edges(links: DataFrame) -> DataFrame:
     return e.groupBy(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).agg(F.max("score").alias("score"))
 
 
+#: Edges from which on clusters with very many of them are relabelled by a broadcast; and how many make one of them.
+MANY_EDGES, HUB_EDGES = 1_000_000, 50_000
+
+
+def _relabelled(edges: DataFrame, end: str, up: DataFrame, written: DataFrame) -> DataFrame:
+    """``edges`` with ``n`` + ``end``, the root that ``up`` (``r``, ``p``) names for each ``end``; ``written``: the table they come from.
+
+    The edges of a large cluster would meet in one task of a join, so the roots
+    of such clusters, at most 20,000, are broadcast.
+    """
+    to = up.select(F.col("r").alias(end), F.col("p").alias(f"n{end}"))
+    count = written.count()
+    if count <= MANY_EDGES:
+        return edges.join(to, end)
+    hubs = written.groupBy(end).agg(F.count("*").alias("__n")).where(F.col("__n") > max(HUB_EDGES, count // 20_000)).select(end)
+    hubs = save(to.join(hubs, end), "hubs").df
+    rest = edges.join(F.broadcast(hubs.select(end)), end, "left_anti").join(to, end)
+    return rest.unionByName(edges.join(F.broadcast(hubs), end))
+
+
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(forest edges, (``form``, ``root``) of all ends), roots being the smallest form of a component."""
     now = save(edges.select("a", "b", "score", F.col("a").alias("ra"), F.col("b").alias("rb")), "msf-edges")
@@ -50,8 +70,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
                 break
         root = up.df.select(F.col("r").alias("root"), F.col("p").alias("new"))
         label2 = save(label.df.join(root, "root", "left").select("form", F.coalesce("new", "root").alias("root")), "msf-labels")
-        ends = lambda c: up.df.select(F.col("r").alias(c), F.col("p").alias(f"n{c}"))
-        after = now.df.join(ends("ra"), "ra").join(ends("rb"), "rb").select("a", "b", "score", F.col("nra").alias("ra"), F.col("nrb").alias("rb"))
+        after = _relabelled(_relabelled(now.df, "ra", up.df, now.df), "rb", up.df, now.df).select("a", "b", "score", F.col("nra").alias("ra"), F.col("nrb").alias("rb"))
         later = save(after.where("ra <> rb"), "msf-edges")
         now.drop()
         label.drop()

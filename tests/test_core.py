@@ -155,7 +155,10 @@ def _kruskal(links, terms, k):
     return {t: find(t) for t in terms}
 
 
-def test_clusters_agree_with_one_task_merging(spark):
+@pytest.mark.parametrize("many, hub", [(K.MANY_EDGES, K.HUB_EDGES), (0, 3)])
+def test_clusters_agree_with_one_task_merging(spark, monkeypatch, many, hub):
+    monkeypatch.setattr(K, "MANY_EDGES", many)
+    monkeypatch.setattr(K, "HUB_EDGES", hub)
     rnd = random.Random(3)
     terms = [f"t{i:02d}" for i in range(40)]
     links = [(*rnd.sample(terms, 2), round(rnd.random(), 1)) for _ in range(60)]
