@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +24,10 @@ from .thesaurus import ortho_distance
 
 #: Items of a group that are paired in one task; the pairs of larger groups are spread over more.
 GROUP_BLOCK = 2_000
+#: Items of a group that are compared at once, and pairs of one part; parts are hashed, so some are larger.
+PAIR_BLOCK, PART_PAIRS = 1_000, 16_000_000
+#: Groups of an item up to which its rows name them; pairs of items in more are made unique in a shuffle.
+MOST_GROUPS = 100
 
 
 def pairs_within(items: DataFrame, group: str, item: str, only: DataFrame | None = None) -> DataFrame:
@@ -94,17 +103,124 @@ def scored_pairs(pairs: DataFrame, vectors: DataFrame | None = None, permutation
     return out.select(*cols)
 
 
+def _padded(vec: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled to length 1 as ``normalised`` does, as rows in double, and their numbers of components, -1 where there is none or one is null."""
+    size = pc.fill_null(pc.list_value_length(vec), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vec.flatten()
+    m = np.zeros((len(vec), max(0, size.max(initial=0))))
+    m[np.arange(m.shape[1]) < size[:, None]] = flat.to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        size[np.repeat(np.arange(len(size)), np.maximum(size, 0))[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))
+    with np.errstate(invalid="ignore"):
+        m /= np.where(length == 0, 1, length)[:, None]
+    return m.astype(np.float32).astype(np.float64), size
+
+
+def _scored_runs(t: pa.Table, ends: np.ndarray, many: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of the rows of each run; ``ends``: where the runs end."""
+    keys, earlier = t.column("a").combine_chunks(), t.column("earlier").combine_chunks()
+    own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
+    m, size = _padded(t.column("vec").combine_chunks())
+    listed = earlier.is_valid().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(earlier), 0).to_numpy(zero_copy_only=False))
+    code = earlier.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    held, waiting = [], 0
+
+    def batch() -> pa.RecordBatch:
+        x, y, dot = (np.concatenate(z) for z in zip(*held, strict=True))
+        known = (size[x] >= 0) & (size[x] == size[y])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y)), pa.array(dot, mask=~known)], ["phrase1", "phrase2", "semantic"])
+
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        keep = np.triu(np.ones((hi - lo, hi - lo), bool), 1)  # rows are in order of their items
+        if i[lo] != j[lo]:
+            keep &= own[lo:hi, None] != own[lo:hi]
+        either = ~(listed[lo:hi, None] & listed[lo:hi])
+        keep &= either if many else ~either
+        at = slice(*np.searchsorted(row, [lo, hi]))
+        r, c = row[at] - lo, code[at]
+        by = np.argsort(c, kind="stable")
+        for shared in np.split(r[by], np.flatnonzero(np.diff(c[by])) + 1):
+            if len(shared) > 1:
+                keep[np.ix_(shared, shared)] = False  # an earlier group has the pair
+        for s in range(0, hi - lo, 256):
+            x, y = np.nonzero(keep[s : s + 256])
+            if len(x):
+                dot = m[lo + s : min(lo + s + 256, hi)] @ m[lo:hi].T
+                held.append((x + lo + s, y + lo, dot[x, y]))
+                waiting += len(x)
+            if waiting > 100_000:
+                yield batch()
+                held, waiting = [], 0
+    if held:
+        yield batch()
+
+
+def similarities_within(items: DataFrame, group: str, item: str, vectors: DataFrame) -> Iterator[DataFrame]:
+    """What ``scored_pairs`` gives of ``pairs_within`` without ``orthographic``, in parts of some ``PART_PAIRS`` pairs.
+
+    Pairs never become rows of a shuffle: items travel with their vectors, once
+    per block of their group, and are paired where they meet.  An item knows its
+    earlier groups, so the first group that both share gives the pair.
+    A part is to be used before the next one is asked for.
+    """
+    x = items.select(F.col(group).alias("g"), F.col(item).alias("a")).where("g is not null and a is not null").distinct()
+    x = x.join(x.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "g")
+    x = x.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("g", "n"))).alias("gs"))
+    x = x.join(vectors.select(F.col("form").alias("a"), "vec"), "a", "left")
+    earlier = lambda k: F.when(F.size("gs") <= MOST_GROUPS, F.transform(F.slice("gs", F.lit(1), k), lambda e: e["g"]))
+    x = x.select("a", "vec", F.inline(F.transform("gs", lambda e, k: F.struct(e["g"].alias("g"), e["n"].alias("n"), earlier(k).alias("earlier")))))
+    table = save(x, "items")
+    x = table.df
+    pairs, many = x.agg(F.sum(F.col("n") - 1), F.count_if(F.col("earlier").isNull())).first()
+    parts = max(1, -(-(pairs or 0) // (2 * PART_PAIRS)))
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("long")
+    tasks = max(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs or 0, 2 * PART_PAIRS) // 1_000_000)
+
+    def part(p: int | None) -> DataFrame:
+        own = F.pmod(F.xxhash64("a"), blocks)
+        others = F.sequence(F.lit(0).cast("long"), blocks - 1)
+        if p is not None:
+            others = F.filter(others, lambda o: F.pmod(F.xxhash64("g", F.least("own", o), F.greatest("own", o), F.lit("part")), F.lit(parts)) == p)
+        y = x.withColumn("own", own).withColumn("o", F.explode(others))
+        y = y.select("g", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "a", "earlier", "vec")
+        y = y.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j", "a")
+
+        def compare(batches):
+            rest = None
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                t = t if rest is None else pa.concat_tables([rest, t])
+                if not t.num_rows:
+                    continue
+                new = np.zeros(t.num_rows - 1, bool)
+                for c in ("g", "i", "j"):
+                    v = t.column(c).combine_chunks()
+                    new |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+                ends = np.flatnonzero(new) + 1
+                if len(ends):  # the last run may go on
+                    yield from _scored_runs(t[: ends[-1]], ends, p is None)
+                rest = t[ends[-1] :] if len(ends) else t
+            if rest is not None:
+                yield from _scored_runs(rest, np.array([rest.num_rows]), p is None)
+
+        kind = x.schema["a"].dataType.simpleString()
+        return y.mapInArrow(compare, f"phrase1 {kind}, phrase2 {kind}, semantic double")
+
+    for p in range(parts):
+        yield part(p)
+    if many:
+        yield part(None).dropDuplicates(["phrase1", "phrase2"])
+    table.drop()
+
+
 def _usable(form, processor: str):
     return (form != "") & ~has_marker(form, processor)
 
 
-def concept_experiment(concepts: DataFrame, abbreviations: DataFrame | None, s: Settings, by: str = "lui") -> DataFrame:
-    """Pairs (``a``, ``b``) of different forms with the same lexical id (``by`` = "concept": the same concept).
-
-    ``concepts``: ``concept``, ``lui``, ``form``; ``abbreviations``: ``abbr``.
-    Forms go through the processor; those with a marker, of more than the
-    longest phrase, or listed as abbreviations take no part.
-    """
+def _concept_items(concepts: DataFrame, abbreviations: DataFrame | None, s: Settings, by: str) -> DataFrame:
+    """(``g``, ``form``) of the forms that take part."""
     clean = F.trim(processor(s.processor)(F.col("form")))
     c = concepts.select(F.col(by).alias("g"), clean.alias("form")).where(_usable(F.col("form"), s.processor))
     if abbreviations is not None:
@@ -112,7 +228,22 @@ def concept_experiment(concepts: DataFrame, abbreviations: DataFrame | None, s:
         c = c.join(a, "form", "left_anti")
     c = short_phrases(c, s.max_phrase_length)
     form = F.col("form") if s.embeddings_case_sensitive else F.lower("form")
-    return pairs_within(c.select("g", form.alias("form")), "g", "form")
+    return c.select("g", form.alias("form"))
+
+
+def concept_experiment(concepts: DataFrame, abbreviations: DataFrame | None, s: Settings, by: str = "lui") -> DataFrame:
+    """Pairs (``a``, ``b``) of different forms with the same lexical id (``by`` = "concept": the same concept).
+
+    ``concepts``: ``concept``, ``lui``, ``form``; ``abbreviations``: ``abbr``.
+    Forms go through the processor; those with a marker, of more than the
+    longest phrase, or listed as abbreviations take no part.
+    """
+    return pairs_within(_concept_items(concepts, abbreviations, s, by), "g", "form")
+
+
+def concept_similarities(concepts: DataFrame, abbreviations: DataFrame | None, s: Settings, vectors: DataFrame, by: str = "lui") -> Iterator[DataFrame]:
+    """Pairs of ``concept_experiment`` with their similarities, in parts as of ``similarities_within``."""
+    return similarities_within(_concept_items(concepts, abbreviations, s, by), "g", "form", vectors)
 
 
 def abbreviation_experiment(abbreviations: DataFrame, s: Settings) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import cluster as K
 from ..operators import collocations as C
 from ..operators import evaluate as E
 from ..operators import ngrams as N
-from ..scratch import save, shared_root
+from ..scratch import Table, save, shared_root
 from ..sources import formats as IO
 from ..sources.binary import file_system
 from . import catalog as A
@@ -206,16 +206,16 @@ c AS (SELECT DISTINCT lui AS g, lower(form) AS form FROM concepts WHERE form <>
 pairs AS (SELECT DISTINCT x.form AS a, y.form AS b FROM c x JOIN c y ON x.g = y.g AND x.form < y.form)"""
 
 
-def _same_lui(spark, d: str) -> DataFrame:
+def _same_lui(spark, d: str) -> tuple:
     c = _concepts(spark, d)
     short = c.where(F.length("form") == 4).select(F.col("form").alias("abbr")).distinct()
-    return E.concept_experiment(c, short, config.Settings(processor="none", max_phrase_length=2))
+    return c, short, config.Settings(processor="none", max_phrase_length=2)
 
 
 @query(f"WITH {_SAME_LUI} SELECT a, b FROM pairs")
 def same_lui_pairs(spark, d):
     """Forms of at most two words with the same lexical id, listed abbreviations left out."""
-    return _same_lui(spark, d)
+    return E.concept_experiment(*_same_lui(spark, d))
 
 
 @query(
@@ -224,11 +224,17 @@ def same_lui_pairs(spark, d):
 SELECT a AS phrase1, b AS phrase2, round(list_dot_product(x.e, y.e), 5) AS semantic FROM pairs LEFT JOIN u x ON x.form = a LEFT JOIN u y ON y.form = b"""
 )
 def pair_similarities(spark, d):
-    """Similarities of pairs, null where a term has no vector, dumped and loaded."""
+    """Similarities of pairs, null where a term has no vector, dumped and loaded part by part, so that the text of one part is on disk at a time."""
     ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    path = _place(spark, "experiment")
-    IO.write_experiment(E.scored_pairs(_same_lui(spark, d), M._vocabulary(spark, d).where(ok), ortho=False), path)
-    return IO.read_experiment(spark, path).select("phrase1", "phrase2", F.round("semantic", 5).alias("semantic"))
+    out = None
+    for part in E.concept_similarities(*_same_lui(spark, d), M._vocabulary(spark, d).where(ok)):
+        path = _place(spark, "experiment")
+        IO.write_experiment(part, path, "lz4")
+        loaded = IO.read_experiment(spark, path)
+        kept = save(loaded.select("phrase1", "phrase2", F.round("semantic", 5).alias("semantic")), "similarities", compression="zstd").df
+        Table(spark, path, loaded.schema).drop()
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 @query(

@@ -60,10 +60,10 @@ class Table:
         fs.delete(p, True)
 
 
-def save(df: DataFrame, name: str) -> Table:
-    """Write ``df`` as an intermediate table and return a handle on it."""
+def save(df: DataFrame, name: str, **options: str) -> Table:
+    """Write ``df`` as an intermediate table, with options of the writer, and return a handle on it."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return Table(spark, path, df.schema)
 

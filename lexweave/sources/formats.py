@@ -228,9 +228,9 @@ def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(f) > 4).select(f[1].alias("abbr"), f[4].alias("long"))
 
 
-def write_experiment(df: DataFrame, path: str) -> None:
+def write_experiment(df: DataFrame, path: str, compression: str = "none") -> None:
     """Tab-separated with a header; only the columns there are; nulls as ``null``."""
-    df.write.option("nullValue", "null").csv(path, sep="\t", header=True)
+    df.write.option("nullValue", "null").csv(path, sep="\t", header=True, compression=compression)
 
 
 def read_experiment(spark: SparkSession, path: str) -> DataFrame:

@@ -353,6 +353,52 @@ def test_experiments(spark):
     assert got["zz"]["abbreviation"] == 4.0 or got["zz"]["abbreviation"] > 0
 
 
+@pytest.mark.parametrize("most_groups", [2, 100])
+def test_similarities_within_groups_in_parts(spark, monkeypatch, most_groups):
+    monkeypatch.setattr(E, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(E, "PART_PAIRS", 200)
+    monkeypatch.setattr(E, "MOST_GROUPS", most_groups)
+    rng = random.Random(5)
+    rows = sorted({(f"g{rng.randrange(k)}", f"i{rng.randrange(60):02d}") for k in (2, 30, 40) for _ in range(80)})
+    values = {f"i{i:02d}": [rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 1)] for i in range(0, 60, 3)}
+    values |= {"i00": [0.0, 0.0, 0.0], "i03": [1.0, 2.0], "i06": [3.0, -1.0], "i09": [1.0, None, 2.0]}
+    items = spark.createDataFrame([*rows, *rows[:20], ("g0", None), (None, "i01"), ("alone", "i01")], "g string, i string")
+    vectors = spark.createDataFrame(list(values.items()), "form string, vec array<float>")
+    parts = [[tuple(r) for r in p.collect()] for p in E.similarities_within(items, "g", "i", vectors)]
+    want = {(r["phrase1"], r["phrase2"]): r["semantic"] for r in E.scored_pairs(E.pairs_within(items, "g", "i"), vectors, ortho=False).collect()}
+    got = [r for p in parts for r in p]
+    assert len(parts) > 3 and len(got) == len(want) > 600 and {r[:2] for r in got} == set(want)
+    for a, b, x in got:
+        assert x == (want[a, b] if want[a, b] is None else pytest.approx(want[a, b], abs=1e-9)), (a, b)
+    none = items.where("g = 'no such'")
+    assert [p.count() for p in E.similarities_within(none, "g", "i", vectors)] == [0]
+
+
+def test_pair_similarities_leave_no_text_and_shuffle_no_pairs(spark, monkeypatch):
+    import os
+
+    from lexweave.plans import catalog, files
+    from lexweave.scratch import shared_root
+
+    dumps, write = [], X.write_experiment
+
+    def spy(df, *args):
+        write(df, *args)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dumps.append((df.count(), plan[: plan.index("Scan")]))
+
+    monkeypatch.setattr(files.IO, "write_experiment", spy)
+    monkeypatch.setattr(E, "PART_PAIRS", 2_000, raising=False)
+    monkeypatch.setattr(E, "PAIR_BLOCK", 20, raising=False)
+    before = set(os.listdir(shared_root(spark))) if os.path.isdir(shared_root(spark)) else set()
+    d = "/root/testdata/sf0.01"
+    got = [tuple(r) for r in catalog.QUERIES["pair_similarities"](spark, d).select("phrase1", "phrase2").collect()]
+    assert not [x for x in set(os.listdir(shared_root(spark))) - before if x.startswith("experiment")]
+    assert len(dumps) > 2 and sum(n for n, _ in dumps) == len(got) and max(n for n, _ in dumps) < len(got) / 2
+    assert all("Join" not in plan and "MapInArrow" in plan for _, plan in dumps)
+    assert sorted(got) == sorted(tuple(r) for r in catalog.QUERIES["same_lui_pairs"](spark, d).collect())
+
+
 def test_entry_leaves_out_what_cannot_be_imported(monkeypatch):
     import __spark_entry__ as entry
 
